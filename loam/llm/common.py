@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -108,3 +111,27 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError("components did not converge")
     return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
+
+
+def marker(ids: DataFrame, bits: int = 1 << 23) -> Callable[[str], Column]:
+    """A test that holds for every key in `ids` (a column `id`) and for few others, to be run where rows are read.
+
+    It is a bitmap of a fixed `bits` bits (1 MB), set at the ids' hashes. Over very many ids it fills up: then it
+    holds for more rows and saves less, and what follows it stays right."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("int")
+    at = ids.select(place("id").alias("at")).distinct().toArrow().column("at").to_numpy()
+    full = np.zeros(bits, bool)
+    full[at] = True
+    packed = np.packbits(full).tobytes()
+
+    @F.pandas_udf("boolean")
+    def marked(at: pd.Series) -> pd.Series:
+        held, i = np.frombuffer(packed, np.uint8), at.to_numpy()
+        return pd.Series((held[i >> 3] >> (7 - (i & 7))) & 1 == 1)
+
+    return lambda key: marked(place(key))
+
+
+def only(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of `df` whose key is in `ids`; the marker drops most others before the shuffle of the semi-join."""
+    return df.where(marker(ids)(key)).join(ids.select("id").distinct(), F.col(key) == F.col("id"), "left_semi")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import components, partitions, small_arrow_batches, written
+from .common import components, only, partitions, small_arrow_batches, written
 
 SMALL, BLOCK, SEEDS = 6, 256, 24
 _EDGES = [1, 2, 3, 4, 5]
@@ -322,7 +322,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     classes = sets.join(low, ["n", "c1", "c2"]).select(F.col("doc_id").alias("a"), F.col("low").alias("b")).where("a <> b")
     pairs = written(near(cand.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent), "pairs")
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = written(usable.join(nodes, usable["doc_id"] == nodes["id"], "left_semi"), "texts")
+    texts = written(only(usable, nodes), "texts")
 
     # first each set's smallest partner, then what could still connect two components
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -334,7 +334,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     if not rest.isEmpty():
         pairs = written(blocks_of(rest, percent), "pairs")
         nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        texts = usable.join(nodes, usable["doc_id"] == nodes["id"], "left_semi")
+        texts = only(usable, nodes)
         more = written(linked(pairs, texts, k, percent), "edges")
         if not more.isEmpty():
             roots = written(components(edges.union(more)), "roots")

@@ -77,6 +77,23 @@ class Words:
         h = span_hash(self.data.astype(U) + U(1), self.start, self.end, _BASES[which])
         return mix(h ^ ((self.end - self.start).astype(U) * U(0xC2B2AE3D27D4EB4F)))
 
+    def kept_text(self, gone: np.ndarray) -> pa.Array:
+        """Each row's words but those that are gone, joined by one space."""
+        keep = np.flatnonzero(~gone)
+        step = np.zeros(len(self.data) + 2, np.int8)
+        doc = self.doc[keep]
+        last = np.ones(len(keep), bool)
+        last[:-1] = doc[1:] != doc[:-1]
+        step[self.start[keep]] += 1
+        np.add.at(step, self.end[keep] + ~last, -1)
+        inside = np.cumsum(step[:-2], dtype=np.int8) > 0
+        inside[self.end[keep[~last]]] = True
+        data = self.data.copy()
+        data[self.end] = 0x20
+        size = np.concatenate([[0], np.cumsum(inside)])
+        offsets = size[self.offsets].astype(np.int64)
+        return pa.LargeStringArray.from_buffers(self.rows, pa.py_buffer(offsets), pa.py_buffer(data[inside])).cast(pa.string())
+
 
 def chunks(*columns: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about `size` bytes of text in all columns together (a longer row stands alone)."""
