@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import text as T
 from .common import components, only, partitions, small_arrow_batches, written
@@ -270,27 +271,42 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 def in_blocks(percent: int):
     """Pairs of two blocks of sets that share a key, as far as component, size and sketch leave them."""
 
-    def side(rows):
-        rows = rows.values
-        get = lambda c: rows.field(c).to_numpy(zero_copy_only=False)
-        return {c: get(c) for c in ("doc_id", "root", "n", "band")} | {c: rows.field(c).to_pylist() for c in ("own", "up")}
+    def side(cell):
+        rows = cell.values
+        out = {c: rows.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "root", "n", "band")}
+        for c in ("own", "up"):
+            lists = rows.field(c)
+            out[c] = (lists.offsets.to_numpy(), lists.values.to_numpy())
+        return out
+
+    def words(s, rows, band):
+        """The sketches of these rows in the band, one row each."""
+        out = []
+        for c, mine in (("own", s["band"][rows] == band), ("up", s["band"][rows] != band)):
+            start, values = s[c][0][rows[mine]], s[c][1]
+            size = int(s[c][0][rows[mine][0] + 1] - start[0]) if len(start) else 0
+            out.append(values[start[:, None] + np.arange(size)] if size else np.zeros((0, 0), np.int64))
+        return out
 
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 x, y = side(batch.column("left")[r]), side(batch.column("right")[r])
                 for band in np.unique(np.concatenate([x["band"], y["band"]])):
-                    i, j = (np.flatnonzero((s["band"] == band) | ((s["band"] == band - 1) & np.array([bool(u) for u in s["up"]], bool))) for s in (x, y))
-                    if not len(i) or not len(j):
-                        continue
-                    bits = [np.array([s["own" if s["band"][q] == band else "up"][q] for q in ix], np.int64) for s, ix in ((x, i), (y, j))]
-                    apart = sum(np.bitwise_count(bits[0][:, None, w] ^ bits[1][None, :, w]).astype(np.int64) for w in range(bits[0].shape[1]))
-                    na, nb = x["n"][i][:, None], y["n"][j][None, :]
-                    ok = (x["root"][i][:, None] != y["root"][j][None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
-                    ok &= np.maximum(x["band"][i][:, None], y["band"][j][None, :]) == band
-                    p, q = np.nonzero(ok)
-                    a, b = x["doc_id"][i][p], y["doc_id"][j][q]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=TESTED)
+                    i, j = ([np.flatnonzero(s["band"] == band), np.flatnonzero((s["band"] == band - 1) & (np.diff(s["up"][0]) > 0))] for s in (x, y))
+                    for p, q in ((i[0], j[0]), (i[0], j[1]), (i[1], j[0])):
+                        if not len(p) or not len(q):
+                            continue
+                        na, nb = x["n"][p][:, None], y["n"][q][None, :]
+                        ok = (x["root"][p][:, None] != y["root"][q][None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+                        u, v = np.nonzero(ok)
+                        if not len(u):
+                            continue
+                        bits = [next(w for w in words(s, rows, band) if len(w)) for s, rows in ((x, p), (y, q))]
+                        apart = np.bitwise_count(bits[0][u] ^ bits[1][v]).sum(1, dtype=np.int64)
+                        fit = (100 + percent) * apart <= (100 - percent) * (x["n"][p][u] + y["n"][q][v])
+                        a, b = x["doc_id"][p][u[fit]], y["doc_id"][q][v[fit]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=TESTED)
 
     return run
 
@@ -350,12 +366,15 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def hidden(cand: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of sets, with key, root and sketches, that large groups of several components leave too few other keys."""
+    """Rows (key, doc_id, root, ...) under which pairs may still be linked unseen.
+
+    Of its keys in large groups of several components a set needs as many as its others fall short of d+1, and by a
+    common order of the keys, smaller groups first, these may be its first: linked sets share one of them."""
     rows = cand.where("key is not null").select("key", F.col("b").alias("doc_id"))
     rows = rows.join(roots, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rows = rows.join(mixed, "key")
-    short = rows.groupBy("doc_id").agg(F.count("*").alias("bad")).join(sets.select("doc_id", "slack", "n", "band", "own", "up"), "doc_id").where("bad > slack").drop("bad", "slack")
-    rows = rows.join(short, "doc_id")
-    mixed = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    return written(rows.join(mixed, "key"), "hidden")
+    mixed = lambda r: r.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
+    rows = written(rows.join(mixed(rows), "key"), "mixed")
+    short = rows.groupBy("doc_id").agg(F.count("*").alias("bad")).join(sets.select("doc_id", "slack"), "doc_id").where("bad > slack").select("doc_id", (F.col("bad") - F.col("slack")).alias("need"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "key"))
+    rows = rows.join(short, "doc_id").withColumn("rank", rank).where("rank <= need").select("key", "doc_id", "root")
+    return written(rows.join(mixed(rows).select("key"), "key").join(sets.select("doc_id", "n", "band", "own", "up"), "doc_id"), "hidden")
