@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .ngram_join import jaccard_components
+from .packing import pack_documents
+from .quality_rules import apply_policy, ledger
+from .sharding import shard
 from .substring_dedup import substring_dedup
 
 
@@ -21,7 +24,23 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), buckets=16, budget=65536)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = apply_policy(ledger(table(spark, sf_dir, "documents")), "strict@2")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
+def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), shards=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_length_packing": op2_length_packing,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_rendezvous_sharding": op8_rendezvous_sharding,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
