@@ -12,7 +12,9 @@ Groups of equal keys are read as one sorted stream. Up to SMALL members are pair
 group each is paired with the first. Pairs pass size and sketch bounds before the exact test, and only those that
 can still connect two components are tested. What a large group may still hide is found by counting: a set
 whose keys in large groups of several components leave it d+1 others has met all its partners elsewhere. The
-rest are compared in blocks of BLOCK by sketch, so no link is lost and no group is expanded into pairs.
+rest, gathered into clusters that share keys (or by key, where a cluster has over CLUSTER sets), are compared by sketch
+in blocks of about BLOCK, each two blocks in a task of their own, and only pairs that pass are told: no link is lost, no
+group is expanded into pairs.
 
 Defined results: null or blank text: 0 shingles, its own component. A null doc_id: its own row, component null.
 Repeated doc_ids: one node, linked if any of its texts is. Extra columns are ignored; empty tables give no rows."""
@@ -28,7 +30,7 @@ from pyspark.sql.window import Window
 from . import text as T
 from .common import components, only, partitions, small_arrow_batches, written
 
-SMALL, BLOCK, SEEDS = 6, 256, 24
+SMALL, BLOCK, SEEDS, CLUSTER = 6, 1024, 24, 32768
 _EDGES = [1, 2, 3, 4, 5]
 while _EDGES[-1] < 1 << 40:
     _EDGES.append(max(_EDGES[-1] + 1, _EDGES[-1] * 3 // 2))
@@ -297,23 +299,24 @@ def in_blocks(percent: int):
                     for p, q in ((i[0], j[0]), (i[0], j[1]), (i[1], j[0])):
                         if not len(p) or not len(q):
                             continue
-                        na, nb = x["n"][p][:, None], y["n"][q][None, :]
-                        ok = (x["root"][p][:, None] != y["root"][q][None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-                        u, v = np.nonzero(ok)
-                        if not len(u):
-                            continue
-                        bits = [next(w for w in words(s, rows, band) if len(w)) for s, rows in ((x, p), (y, q))]
-                        apart = np.bitwise_count(bits[0][u] ^ bits[1][v]).sum(1, dtype=np.int64)
-                        fit = (100 + percent) * apart <= (100 - percent) * (x["n"][p][u] + y["n"][q][v])
-                        a, b = x["doc_id"][p][u[fit]], y["doc_id"][q][v[fit]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=TESTED)
+                        left, right = ([w for w in words(s, rows, band) if len(w)][0] for s, rows in ((x, p), (y, q)))
+                        step = max(1, (1 << 21) // (len(q) * left.shape[1]))
+                        for at in range(0, len(p), step):
+                            part = p[at : at + step]
+                            na, nb = x["n"][part][:, None], y["n"][q][None, :]
+                            apart = np.bitwise_count(left[at : at + step, None, :] ^ right[None, :, :]).sum(2, dtype=np.int64)
+                            ok = (x["root"][part][:, None] != y["root"][q][None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
+                            u, v = np.nonzero(ok)
+                            if len(u):
+                                a, b = x["doc_id"][part][u], y["doc_id"][q][v]
+                                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=TESTED)
 
     return run
 
 
 def blocks_of(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components within each key, from pairs of blocks of about BLOCK rows."""
-    size = rows.groupBy("key").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("parts"))
+    size = rows.groupBy("key").agg(F.ceil(F.count("*") / (BLOCK * 3 // 4)).cast("int").alias("parts"))
     cut = rows.join(size, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
     held = cut.groupBy("key", "parts", "part").agg(F.collect_list(F.struct("doc_id", "root", "n", "band", "own", "up")).alias("rows"))
     left = held.select("key", F.col("rows").alias("left"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("other"))
@@ -347,7 +350,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     roots = written(components(edges), "roots")
 
     rest = hidden(cand, sets, roots)
-    if not rest.isEmpty():
+    if rest is not None:
         pairs = written(blocks_of(rest, percent), "pairs")
         nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         texts = only(usable, nodes)
@@ -365,7 +368,7 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return j.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def hidden(cand: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+def hidden(cand: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame | None:
     """Rows (key, doc_id, root, ...) under which pairs may still be linked unseen.
 
     Of its keys in large groups of several components a set needs as many as its others fall short of d+1, and by a
@@ -377,4 +380,14 @@ def hidden(cand: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     short = rows.groupBy("doc_id").agg(F.count("*").alias("bad")).join(sets.select("doc_id", "slack"), "doc_id").where("bad > slack").select("doc_id", (F.col("bad") - F.col("slack")).alias("need"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "key"))
     rows = rows.join(short, "doc_id").withColumn("rank", rank).where("rank <= need").select("key", "doc_id", "root")
-    return written(rows.join(mixed(rows).select("key"), "key").join(sets.select("doc_id", "n", "band", "own", "up"), "doc_id"), "hidden")
+    rows = written(rows.join(mixed(rows).select("key"), "key"), "short")
+    if rows.isEmpty():
+        return None
+    low = rows.groupBy("key").agg(F.min("doc_id").alias("low"))
+    cluster = components(rows.join(low, "key").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))).select(F.col("id").alias("doc_id"), F.col("root").alias("cluster"))
+    rows = rows.join(cluster, "doc_id")
+    one = rows.select("cluster", "doc_id", "root").distinct()
+    many = one.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > CLUSTER).select("cluster")
+    by_cluster = one.join(many, "cluster", "left_anti").select(F.struct(F.lit(True).alias("whole"), F.col("cluster").alias("id")).alias("key"), "doc_id", "root")
+    by_key = rows.join(many, "cluster").select(F.struct(F.lit(False).alias("whole"), F.col("key").alias("id")).alias("key"), "doc_id", "root")
+    return written(by_cluster.union(by_key).join(sets.select("doc_id", "n", "band", "own", "up"), "doc_id"), "hidden")

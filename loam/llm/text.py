@@ -53,6 +53,8 @@ def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int)
 class Words:
     """Words of a column: `start`, `end` are byte places in `data`, `doc` the row, `first[i]:first[i+1]` row i's words."""
 
+    inside = ~_SPACE
+
     def __init__(self, column: pa.Array, lower: bool = False):
         column = column.cast(pa.large_string()).fill_null("")
         column = pc.binary_join_element_wise(column, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
@@ -65,7 +67,7 @@ class Words:
         self.offsets = offsets - offsets[0]
         self.data = _LOWER[data] if lower else data
         inside = np.zeros(len(data) + 2, np.int8)
-        inside[1:-1] = ~_SPACE[data]
+        inside[1:-1] = self.inside[data]
         step = np.diff(inside)
         self.start, self.end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         self.first = np.searchsorted(self.start, self.offsets)
