@@ -113,7 +113,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
 
 
-def marker(ids: DataFrame, bits: int = 1 << 23) -> Callable[[str], Column]:
+def marker(ids: DataFrame, bits: int = 1 << 23) -> Callable[[Column | str], Column]:
     """A test that holds for every key in `ids` (a column `id`) and for few others, to be run where rows are read.
 
     It is a bitmap of a fixed `bits` bits (1 MB), set at the ids' hashes. Over very many ids it fills up: then it
@@ -135,3 +135,10 @@ def marker(ids: DataFrame, bits: int = 1 << 23) -> Callable[[str], Column]:
 def only(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of `df` whose key is in `ids`; the marker drops most others before the shuffle of the semi-join."""
     return df.where(marker(ids)(key)).join(ids.select("id").distinct(), F.col(key) == F.col("id"), "left_semi")
+
+
+def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of `df` whose key is not in `ids`; rows that the marker clears are not shuffled."""
+    marked = F.coalesce(marker(ids)(key), F.lit(False))
+    gone = ids.select(F.col("id").alias("__gone")).distinct()
+    return df.where(~marked).unionByName(df.where(marked).join(gone, F.col(key) == F.col("__gone"), "left_anti"))

@@ -155,12 +155,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float
     return fit(x[p], x[u], prior if prior is not None else min(float(share[0]), 0.999))
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float | None = None) -> DataFrame:
-    """Every column of `docs`, with held_out, score and predicted added (a column of that name is replaced)."""
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float | None = None, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
+    """Every column of `docs`, with held_out, score and predicted added under these names (a column of that name is replaced)."""
     small_arrow_batches(docs.sparkSession)
     model = train(docs, labels, sample, prior)
     if model is None:
-        out = docs.withColumn("score", F.lit(0.5))
+        value = F.lit(0.5)
     else:
 
         @F.pandas_udf("double")
@@ -169,5 +169,6 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: fl
             parts = [model.score(measure(column[lo:hi])) for lo, hi in T.chunks(column)]
             return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-        out = docs.withColumn("score", score(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return out.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        value = score(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = docs.withColumn(names[1], value)
+    return out.withColumn(names[0], held_out(F.col("doc_id"))).withColumn(names[2], (F.col(names[1]) >= 0.5).cast("int"))

@@ -42,9 +42,10 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the measurements of each whole text."""
-    df = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
+def measured(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id and the measurements of each whole text; with `carry` also `_row`, a struct of all the row's columns."""
+    held = [F.struct(*[F.col(c) for c in docs.columns]).alias("_row")] if carry else []
+    df = docs.select(*held, "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
     df = df.withColumn("_w", F.array_remove(F.split("_t", SPACE), ""))
     df = df.withColumn("_joined", F.array_join("_w", "")).withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     n = F.size("_w")
@@ -71,6 +72,7 @@ def measured(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: F.ltrim(x, F.lit(" \t\r\x0b\x0c")) != ""))
     count = lambda pattern: (F.size(F.split("_t", pattern)) - 1).cast("bigint")
     df = df.select(
+        *(["_row"] if carry else []),
         "doc_id",
         "n_words",
         F.length("_joined").cast("bigint").alias("word_chars"),
@@ -84,9 +86,9 @@ def measured(docs: DataFrame) -> DataFrame:
     return df
 
 
-def ledger(docs: DataFrame) -> DataFrame:
+def ledger(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Measurements and the mask `failed`: bit i is set if rule i of RULES fails."""
-    df = measured(docs)
+    df = measured(docs, carry)
     values = {
         "n_words": F.col("n_words").cast("double"),
         "repeat_share": _share(F.col("n_repeat_words"), F.col("n_words")),
@@ -122,3 +124,13 @@ def ablation(rows: DataFrame, policy: str = "strict@2") -> DataFrame:
             fails, alone = F.sum((hit.bitwiseAND(bit) != 0).cast("bigint")), F.sum((hit == bit).cast("bigint"))
             sums.append(F.struct(F.lit(name).alias("rule"), F.coalesce(fails, F.lit(0)).alias("n_failed"), F.coalesce(alone, F.lit(0)).alias("n_failed_alone"), F.sum((hit.bitwiseAND(F.lit(~(1 << i))) == 0).cast("bigint")).alias("n_kept_without")))
     return rows.agg(F.array(*sums).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def keep(docs: DataFrame, policy: str = "strict@2") -> DataFrame:
+    """The rows of `docs` that a policy keeps, with their columns.
+
+    The verdict carries a row number that is always true of it: a condition so marked is not moved below the columns it
+    is made of, where the optimiser would write their expressions out again inside each other's loops."""
+    rows = apply_policy(ledger(docs, carry=True), policy)
+    rows = rows.withColumn("kept", F.col("kept") & (F.monotonically_increasing_id() >= 0))
+    return rows.where("kept").select("_row.*")

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
 from . import text as T
@@ -207,31 +208,32 @@ class FingerprintIndex:
         return found.where("whole").select("doc_id", "tag", "at", "n").union(late)
 
 
-CUT = "doc_id bigint, tag int, n_words bigint, n_removed bigint, kept string"
-_CUT = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-
-
 def cut(size: int):
-    """Texts without the words that the spans' windows cover; kept words joined by one space."""
+    """Replaces the last column, the spans of each row's `text`, by its words' number, the number removed and the kept text."""
 
     def run(batches):
         for batch in batches:
-            ids, tags, texts, lists = (batch.column(c) for c in ("doc_id", "tag", "text", "spans"))
+            texts, lists = batch.column("text"), batch.column(batch.num_columns - 1)
             for lo, hi in T.chunks(texts):
                 w = T.Words(texts[lo:hi])
-                part = lists[lo:hi].fill_null([]) if lists[lo:hi].null_count else lists[lo:hi]
+                part = lists[lo:hi]
                 count, flat = np.diff(part.offsets.to_numpy()), part.flatten()
+                count = np.where(part.is_null().to_numpy(zero_copy_only=False), 0, count)
                 at = w.first[np.repeat(np.arange(hi - lo), count)] + flat.field("at").to_numpy()
                 step = np.zeros(len(w.start) + 1, np.int64)
                 np.add.at(step, at, 1)
                 np.add.at(step, at + flat.field("n").to_numpy() + size - 1, -1)
                 gone = np.cumsum(step[:-1]) > 0
                 lost = np.concatenate([[0], np.cumsum(gone)])
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], tags[lo:hi], pa.array(w.count.astype(np.int64)), pa.array(lost[w.first[1:]] - lost[w.first[:-1]]), w.kept_text(gone)], schema=_CUT)
+                new = [pa.array(w.count.astype(np.int64)), pa.array(lost[w.first[1:]] - lost[w.first[:-1]]), w.kept_text(gone)]
+                yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[:-1]), *new], names=[*batch.schema.names[:-1], *NEW])
 
     return run
 
 
+NEW = ("__n_words", "__n_removed", "__kept")
+
+
 def tagged(docs: DataFrame) -> DataFrame:
     """doc_id, text and a 32-bit tag that tells apart rows with one doc_id."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -253,13 +255,33 @@ def covered_spans(docs: DataFrame, size: int = 50, shares: tuple[float, ...] = (
     return index.covered()
 
 
+def cut_rows(docs: DataFrame, size: int = 50) -> DataFrame:
+    """Every row and column of `docs`, with __n_words, __n_removed and __kept."""
+    spans = covered_spans(tagged(docs), size).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n")).alias("__spans"))
+    spans = written(spans.select(F.col("doc_id").alias("__d"), F.col("tag").alias("__t"), "__spans"), "covered")
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    # texts that no span can touch are not shuffled
+    marked = marker(spans.select(F.col("__d").alias("id")))(F.col("doc_id").cast("bigint"))
+    rest = rows.where(~F.coalesce(marked, F.lit(False))).withColumn("__spans", F.array().cast("array<struct<at:int,n:int>>"))
+    hit = rows.where(marked).withColumn("__tag", F.hash(F.coalesce("text", F.lit(""))))
+    hit = hit.join(spans, (F.col("doc_id") == F.col("__d")) & (F.col("__tag") == F.col("__t")), "left").drop("__d", "__t", "__tag")
+    hit = hit.withColumn("__spans", F.coalesce("__spans", F.array().cast("array<struct<at:int,n:int>>")))
+    kinds = S.StructType([*rows.schema.fields, S.StructField(NEW[0], S.LongType()), S.StructField(NEW[1], S.LongType()), S.StructField(NEW[2], S.StringType())])
+    return rest.unionByName(hit).select(*rows.columns, "__spans").mapInArrow(cut(size), kinds)
+
+
 def substring_dedup(docs: DataFrame, size: int = 50) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept): each text without the words of windows that start in a smaller doc_id."""
-    docs = tagged(docs)
-    spans = written(covered_spans(docs, size).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "covered")
-    # texts that no span can touch are not shuffled
-    marked = marker(spans.select(F.col("doc_id").alias("id")))
-    rest = docs.where(~F.coalesce(marked("doc_id"), F.lit(False))).withColumn("spans", F.lit(None).cast("array<struct<at:int,n:int>>"))
-    spans = spans.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "spans")
-    hit = docs.where(marked("doc_id")).join(spans, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")), "left").drop("d", "t")
-    return rest.unionByName(hit).select("doc_id", "tag", "text", "spans").mapInArrow(cut(size), CUT).drop("tag")
+    out = cut_rows(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), size)
+    return out.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept").alias("kept"))
+
+
+def substring_dedup_rows(docs: DataFrame, size: int = 50) -> DataFrame:
+    """The columns of `docs`: texts that lost words are their kept words (n_chars follows), emptied ones go, others are untouched."""
+    out = cut_rows(docs, size).where("__n_removed = 0 or __kept <> ''")
+    lost = F.col("__n_removed") > 0
+    text = F.when(lost, F.col("__kept")).otherwise(F.col("text"))
+    columns = {"text": text}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(lost, F.length("__kept").cast("bigint")).otherwise(F.col("n_chars"))
+    return out.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
