@@ -55,7 +55,9 @@ class KeyedStore:
         """Appends rows (seq, op, key, value); seq must rise above all before."""
         self.check()
         append(normalised(log), f"{self.path}/log")
-        self.next_seq = max(self.next_seq, (replay(self.spark, f"{self.path}/log", self.next_seq - 1).agg(F.max("seq")).first()[0] or -1) + 1)
+        last = replay(self.spark, f"{self.path}/log", self.next_seq - 1).agg(F.max("seq")).first()[0]
+        if last is not None:
+            self.next_seq = last + 1
         if (self.buffered().agg(F.sum(record_bytes())).first()[0] or 0) >= self.config.memtable_size:
             self.flush()
 
