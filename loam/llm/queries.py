@@ -12,6 +12,7 @@ from .common import table
 from .html_text import extract_pages
 from .license_scan import scan
 from .ngram_join import jaccard_components
+from .oracles import ORACLES as ORACLES
 from .packing import pack_documents
 from .quality_classifier import classify
 from .quality_rules import apply_policy, ledger
@@ -85,5 +86,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
-
-ORACLES: dict[str, str] = {}
