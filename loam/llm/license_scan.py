@@ -115,14 +115,15 @@ def matches(index: Index, words: np.ndarray, place: np.ndarray, entry: np.ndarra
         at = place[index.template[entry] == t]
         diagonal = at - index.place[entry][index.template[entry] == t]
         order = np.lexsort((at, diagonal))
-        at, diagonal = at[order], diagonal[order]
+        at, diagonal, free = at[order], diagonal[order], words.copy()
         while len(at):
             near = diagonal <= diagonal[0] + BAND
-            got = align(index.words[t], words, int(diagonal[0]), int(diagonal[0]), int(diagonal[near].max()))
+            got = align(index.words[t], free, int(diagonal[0]), int(diagonal[0]), int(diagonal[near].max()))
             gone = near.copy()
             if got and got[0] >= least * len(index.words[t]):
                 found.append((got[0], got[0] / len(index.words[t]), int(t), got[1], got[2]))
                 gone = (at >= got[1]) & (at <= got[2])
+                free[got[1] : got[2] + 1] = 0  # each word stands in one match of a template
                 gone[0] = True
             at, diagonal = at[~gone], diagonal[~gone]
     found.sort(key=lambda m: (-m[0], -m[1], m[2], m[3]))
