@@ -69,8 +69,13 @@ def segments(size: int):
                 count = np.diff(np.concatenate([np.flatnonzero(new), [len(ok)]]))
                 g = T.span_hash(w.hashes(1), start, start + count + size - 1, base)
                 g = T.mix(g ^ T.mix((at[start] - start + 1000 * count).astype(np.uint64)))
-                row = pa.array(w.doc[start])
-                yield pa.RecordBatch.from_arrays([pa.array(gram[at[start]].view(np.int64)), pa.array(g.view(np.int64)), ids[lo:hi].take(row), tags[lo:hi].take(row), pa.array((start - w.first[w.doc[start]]).astype(np.int32)), pa.array(count.astype(np.int32))], schema=_SEGMENT)
+                a, row = gram[at[start]], w.doc[start]
+                # a periodic text repeats one segment end to end: such a row of equals is one span
+                same = (a[1:] == a[:-1]) & (g[1:] == g[:-1]) & (row[1:] == row[:-1]) & (start[1:] == start[:-1] + count[:-1])
+                first = np.flatnonzero(np.concatenate([[True], ~same]))
+                a, g, row, start, count = a[first], g[first], row[first], start[first], np.add.reduceat(count, first)
+                where = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(g.view(np.int64)), ids[lo:hi].take(where), tags[lo:hi].take(where), pa.array((start - w.first[row]).astype(np.int32)), pa.array(count.astype(np.int32))], schema=_SEGMENT)
 
     return run
 

@@ -36,6 +36,7 @@ def rows():
         (20, " ".join(words(40, 3) + passage)), (21, " ".join(passage + words(30, 4))), (22, "A b\tC\n d" + " ".join(passage[:55])),
         (30, None), (31, ""), (32, " \t\n"), (33, "one two"), (34, "One TWO"), (35, "été größe ñandú 中文 🙂 and the " * 12),
         (40, " ".join(words(9000, 5))), (41, "the same line\nthe same line\nthe same line\n" * 30), (42, "###*** $$$ " * 60),
+        (50, "tick " * 300), (51, "tick " * 90 + "tock " * 70), (52, "a b c " * 100), (53, "x a b c " + "a b c " * 60 + "y"),
         (None, " ".join(base)), (10, " ".join(base)),
     ]
     return out
