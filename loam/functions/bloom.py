@@ -59,6 +59,14 @@ def may_contain(keys: DataFrame, places: DataFrame, k: int, m: int) -> DataFrame
     return hit.groupBy("key").agg(F.bool_and(F.coalesce("set", F.lit(False))).alias("may_contain"))
 
 
+def runs_to_read(runs: DataFrame, key: str, k: int, m: int) -> DataFrame:
+    """run_id of the runs whose own filter, over their keys, may contain the key; the others need not be read."""
+    places = runs.select("run_id", fnv("key").alias("h")).select("run_id", F.explode(locations(F.col("h"), k, m)).alias("pos")).distinct()
+    asked = runs.sparkSession.range(1).select(F.lit(key).alias("key")).select(F.array_distinct(locations(fnv("key"), k, m)).alias("p"))
+    asked = asked.select(F.size("p").alias("need"), F.explode("p").alias("pos"))  # at most k rows
+    return places.join(F.broadcast(asked), "pos").groupBy("run_id", "need").agg(F.count("*").alias("n")).where("n = need").select("run_id")
+
+
 def false_positive_rate(k: Column, m: Column, x: Column) -> Column:
     """(1 - e^(-k x / m))^k; 0 without elements."""
     return F.when(x <= 0, F.lit(0.0)).otherwise(F.pow(F.lit(1.0) - F.exp(-k * x / m), k))

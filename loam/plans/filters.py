@@ -15,7 +15,7 @@ PARAMS = "(VALUES (1000, 10), (0, 10), (1000, 0), (1000, 20), (1, 1), (10000, 8)
 HASHED = "hashed AS (SELECT key, list_reduce(list_transform(range(1, strlen(key) + 1), lambda i: CAST(('0x' || substr(hex(encode(key)), CAST(2 * i - 1 AS INT), 2)) AS BIGINT)), lambda h, x: (xor(h, x) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT)) AS h FROM keys)"
 
 
-def _located(k: int, m: int, hashed: str = "hashed") -> str:
+def located(k: int, m: int, hashed: str = "hashed") -> str:
     h = "h"
     for j in range(4):
         h = f"(xor({h}, ((2538058380 + i) >> {8 * j}) & 255) * 16777619) % 4294967296"
@@ -53,13 +53,13 @@ def bloom_fnv_hash(spark, sf_dir):
     return names(spark, sf_dir).select(F.col("c_name").alias("key")).distinct().select("key", B.fnv("key").alias("h"))
 
 
-@query(f"WITH {KEYS}, {HASHED} SELECT key, CAST(i AS INT) AS i, pos FROM ({_located(K, M)})")
+@query(f"WITH {KEYS}, {HASHED} SELECT key, CAST(i AS INT) AS i, pos FROM ({located(K, M)})")
 def bloom_locations(spark, sf_dir):
     keys = names(spark, sf_dir).select(F.col("c_name").alias("key")).distinct().select("key", B.fnv("key").alias("h"))
     return keys.select("key", F.posexplode(B.locations(F.col("h"), K, M)).alias("i", "pos"))
 
 
-BITS = f"bits AS (SELECT DISTINCT pos FROM ({_located(K, M)}))"
+BITS = f"bits AS (SELECT DISTINCT pos FROM ({located(K, M)}))"
 
 
 @query(f"WITH {ADDED}, {HASHED}, {BITS} SELECT pos FROM bits")
@@ -68,7 +68,7 @@ def bloom_bits(spark, sf_dir):
 
 
 ASKED = f"asked AS (SELECT key, h FROM (WITH {KEYS}, {HASHED} SELECT key, h FROM hashed))"
-ANSWER = f"answer AS (SELECT l.key, bool_and(b.pos IS NOT NULL) AS may_contain FROM ({_located(K, M, 'asked')}) l LEFT JOIN bits b ON l.pos = b.pos GROUP BY l.key)"
+ANSWER = f"answer AS (SELECT l.key, bool_and(b.pos IS NOT NULL) AS may_contain FROM ({located(K, M, 'asked')}) l LEFT JOIN bits b ON l.pos = b.pos GROUP BY l.key)"
 
 
 @query(f"WITH {ADDED}, {HASHED}, {BITS}, {ASKED}, {ANSWER} SELECT key, may_contain FROM answer")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import bloom
 from ..operators import compaction, fold, runs
+from .filters import HASHED, located
 from .keyed import EVENTS, VERSIONS, log
 
 QUERIES: dict = {}
@@ -61,6 +63,13 @@ def run_prune_minmax(spark, sf_dir):
     return runs.may_hold(runs.manifest(all_runs(spark, sf_dir)), "7").select("run_id")
 
 
+@query(
+    f"{WITH}, keys AS (SELECT DISTINCT key FROM runs UNION SELECT '7'), {HASHED}, loc AS ({located(4, 200)}), probe AS (SELECT DISTINCT pos FROM loc WHERE key = '7') SELECT run_id FROM (SELECT DISTINCT run_id, pos FROM runs r JOIN loc l ON l.key = r.key) x JOIN probe p ON p.pos = x.pos GROUP BY run_id HAVING count(*) = (SELECT count(*) FROM probe)"
+)
+def run_prune_bloom(spark, sf_dir):
+    return bloom.runs_to_read(all_runs(spark, sf_dir), "7", 4, 200)
+
+
 @query(f"{WITH}, {MANIFEST} SELECT level, CAST(count(*) AS BIGINT) AS n_runs FROM manifest GROUP BY level")
 def level_counts(spark, sf_dir):
     return runs.manifest(all_runs(spark, sf_dir)).groupBy("level").agg(F.count("*").alias("n_runs"))
