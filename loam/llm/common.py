@@ -110,7 +110,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         last = now
     else:
         raise RuntimeError("components did not converge")
-    return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(edges.select("b", "b")).groupBy("id").agg(F.min("root").alias("root"))
 
 
 def marker(ids: DataFrame, bits: int = 1 << 23) -> Callable[[Column | str], Column]:
