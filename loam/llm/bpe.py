@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from .common import small_arrow_batches
 
 #: Fixed value: the pattern of byte-level tokenizers of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT, LONGEST = 500_000, 48
+KEPT, LONGEST = 250_000, 48
 
 
 def byte_letters() -> list[str]:
@@ -45,10 +46,12 @@ class Codec:
         vocab, letters = model["vocab"], byte_letters()
         of = {c: b for b, c in enumerate(letters)}
         self.symbol = [vocab[c] for c in letters]
-        self.merge = {}
+        self.rank: list[dict[int, int]] = [{} for _ in range(max(vocab.values()) + 1)]  # of a pair: by its left symbol, then by its right
+        self.joined = []  # by rank
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.merge[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
+            self.rank[vocab[a]][vocab[b]] = rank
+            self.joined.append(vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.bytes = [b""] * size
@@ -61,24 +64,31 @@ class Codec:
         self.known = Known(self)
 
     def merged(self, piece: str) -> list[int]:
-        symbol = [self.symbol[b] for b in piece.encode()]
-        n, merge = len(symbol), self.merge
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        queue = [(m, i) for i in range(n - 1) if (m := merge.get(symbol[i] << 32 | symbol[i + 1])) is not None]
+        of, rank, joined = self.symbol, self.rank, self.joined
+        symbol = [of[b] for b in piece.encode()]
+        n = len(symbol)
+        # an entry is the rank and, in its low 32 bits, the place of the left symbol
+        queue = [r << 32 | i for i in range(n - 1) if (r := rank[symbol[i]].get(symbol[i + 1])) is not None]
+        if not queue:
+            return symbol
         heapify(queue)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         while queue:
-            m, i = heappop(queue)
+            entry = heappop(queue)
+            i = entry & 0xFFFFFFFF
             j = after[i]
-            if j < 0 or symbol[i] < 0 or merge.get(symbol[i] << 32 | symbol[j]) != m:
+            if j < 0 or (left := symbol[i]) < 0 or rank[left].get(symbol[j]) != entry >> 32:
                 continue  # stale
-            symbol[i], symbol[j], k = m & 0xFFFFFFFF, -1, after[j]
-            after[i] = k
+            symbol[i] = new = joined[entry >> 32]
+            symbol[j] = -1
+            after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if (m := merge.get(symbol[i] << 32 | symbol[k])) is not None:
-                    heappush(queue, (m, i))
-            if (h := before[i]) >= 0 and (m := merge.get(symbol[h] << 32 | symbol[i])) is not None:
-                heappush(queue, (m, h))
+                if (r := rank[new].get(symbol[k])) is not None:
+                    heappush(queue, r << 32 | i)
+            h = before[i]
+            if h >= 0 and (r := rank[symbol[h]].get(new)) is not None:
+                heappush(queue, r << 32 | h)
         return [s for s in symbol if s >= 0]
 
     def encode(self, text: str) -> bytes:
@@ -96,15 +106,20 @@ class Codec:
 
 
 class Known(dict):
-    """Ids of pieces seen; emptied when full, so memory stays bounded."""
+    """Ids of pieces seen, in two generations: when the young one is full, it becomes the old one, and pieces met again
+    come back from there. Memory stays bounded, and frequent pieces stay known."""
 
     def __init__(self, codec: Codec):
-        self.codec = codec
+        self.codec, self.old = codec, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.codec.merged(piece), np.int32).tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            found = self.codec.merged(piece)
+            ids = pack(f"={len(found)}i", *found)
         if len(piece) <= LONGEST:
             if len(self) >= KEPT:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
