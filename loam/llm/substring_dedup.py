@@ -6,8 +6,8 @@ text leaves about one index row for a dozen words. A row is (a: anchor hash, g:
 an independent family, doc_id, place). What windows a text shares is decided from its segments alone:
 
 * equal (a, g): the segment stands word for word in a smaller doc_id, so all of it is covered;
-* equal a, another g: some of its windows may still be shared. One text for each (a, g), the smallest doc_id, is read
-  again and these windows alone are compared by two independent 64-bit hashes (the verification).
+* equal a, another g: some of its windows may still be shared. The smallest doc_id of each (a, g) is read again at every
+  place that holds it, and these windows alone are compared by two independent 64-bit hashes (the verification).
 
 `FingerprintIndex` keeps sorted immutable runs, one a batch, on shared storage. A new batch is merged with the
 live runs in one sorted stream by (a, g, doc_id); when `fanout` runs have gathered, they are compacted into one that
@@ -81,11 +81,12 @@ def segments(size: int):
 
 
 def merged(batches):
-    """From segments sorted by (a, g, doc_id): spans covered whole, and the spans of each (a, g)'s first row where an anchor has several g.
+    """From segments sorted by (a, g, doc_id): spans covered whole, and where an anchor has several g those to be verified.
 
-    Held from batch to batch: the last (a, g), its smallest doc_id, and its first row while it is its anchor's only g."""
+    To be verified are, of each (a, g), the first row and all new rows of its smallest doc_id; an old one stands for its
+    equals. Held from batch to batch: the last (a, g), its smallest doc_id, and such rows while it is its anchor's only g."""
     at_a = at_g = owner = None
-    several, held = False, None
+    several, held = False, []
     for batch in batches:
         c = {name: batch.column(name).to_numpy() for name in ("a", "g", "doc_id", "tag", "at", "n")}
         c["old"] = batch.column("old").to_numpy(zero_copy_only=False)
@@ -102,15 +103,16 @@ def merged(batches):
         of = np.cumsum(new_g) - 1
         low = np.where(of >= 0, doc[start[np.maximum(of, 0)]] if len(start) else 0, owner if owner is not None else 0)
         yield from spans(c, np.flatnonzero(~c["old"] & (doc > low)), True)
-        # the first rows of each (a, g), counted by anchor
+        # the rows to be verified of each (a, g), by anchor
+        open_rows = new_g | (~c["old"] & (doc == low))
         group = np.cumsum(new_a)  # 0: the anchor that was open before
         size = np.bincount(group[start], minlength=int(group[-1]) + 1)
-        open_more = size[0] > 0
-        if open_more and held is not None:
-            yield from spans(held, np.array([0]), False)
-            held = None
         show = size >= 2
-        show[0] = open_more
+        show[0] = several or size[0] > 0
+        if show[0]:
+            for x in held:
+                yield from spans(x, np.arange(len(x["a"])), False)
+            held = []
         only_doc = np.zeros(len(size), bool)
         begin = np.flatnonzero(new_a)
         if len(begin):
@@ -118,10 +120,12 @@ def merged(batches):
             fresh = np.logical_or.reduceat(~c["old"], begin)
             only_doc[1:] = (lowest == highest) | ~fresh
             only_doc[-1] = False  # may go on
-        yield from spans(c, start[(show & ~only_doc)[group[start]]], False)
-        if len(begin):
-            last = start[group[start] == group[-1]]
-            held = {k: v[last[:1]] for k, v in c.items()} if len(last) == 1 else None
+            held = []
+        yield from spans(c, np.flatnonzero(open_rows & (show & ~only_doc)[group]), False)
+        several = bool(show[-1])
+        if not several:
+            last = np.flatnonzero(open_rows & (group == group[-1]))
+            held.append({k: v[last] for k, v in c.items()})
         at_a, at_g, owner = a[-1], g[-1], low[-1]
 
 
@@ -203,7 +207,7 @@ class FingerprintIndex:
         found = self.spans[0]
         for x in self.spans[1:]:
             found = found.union(x)
-        check = found.where("not whole").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+        check = found.where("not whole").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
         check = written(check, "check")
         texts = only(self.documents, check.select(F.col("doc_id").alias("id")))
         texts = texts.join(check, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
