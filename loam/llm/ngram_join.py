@@ -11,7 +11,9 @@ dealt again with more blocks, until it has enough; of a pair, one such set suffi
 Groups of equal keys are read as one sorted stream. Up to SMALL members are paired with each other; in a larger
 group each is paired with the first. Pairs pass size and sketch bounds before the exact test, and only those that
 can still connect two components are tested. What a large group may still hide is found by counting: a set
-whose keys in large groups of several components leave it d+1 others has met all its partners elsewhere. The
+whose keys in large groups of several components leave it d+1 others has met all its partners elsewhere. This holds
+for sets dealt once; one dealt again may share with a partner nothing but a single key of an earlier dealing, so any
+such key makes it one of the rest. The
 rest, gathered into clusters that share keys (or by key, where a cluster has over CLUSTER sets), are compared by sketch
 in blocks of about BLOCK, each two blocks in a task of their own, and only pairs that pass are told: no link is lost, no
 group is expanded into pairs.
@@ -108,15 +110,13 @@ class Sets:
         return np.concatenate(out), np.concatenate(rows)
 
     def slack(self) -> np.ndarray:
-        """As the last of `keys`, without the keys."""
-        left, slack = np.arange(len(self.row)), np.zeros(len(self.row), np.int64)
-        for seed in range(SEEDS):
-            if len(left):
-                at, start, _ = self.places(left, seed)[:3]
-                full = np.add.reduceat(np.bincount(at, minlength=int(start[-1] + deal(seed, self.d[left[-1:]])[0])) > 0, start, dtype=np.int64)
-                slack[left] = full - self.d[left] - 1
-                left = left[slack[left] < 0]
-        return slack
+        """Keys of the first dealing beyond the d+1 needed; negative for jobs that are dealt again."""
+        every = np.arange(len(self.row))
+        if not len(every):
+            return every
+        at, start, _, _ = self.places(every, 0)
+        full = np.add.reduceat(np.bincount(at, minlength=int(start[-1] + deal(0, self.d[-1:])[0])) > 0, start, dtype=np.int64)
+        return full - self.d - 1
 
     def sketches(self) -> tuple[np.ndarray, np.ndarray]:
         """Parity sketches of all jobs: 64-bit words, and the place where each job's begin."""
@@ -304,7 +304,8 @@ def in_blocks(percent: int):
                         for at in range(0, len(p), step):
                             part = p[at : at + step]
                             na, nb = x["n"][part][:, None], y["n"][q][None, :]
-                            apart = np.bitwise_count(left[at : at + step, None, :] ^ right[None, :, :]).sum(2, dtype=np.int64)
+                            # unsigned: of a negative number bitwise_count counts the absolute value's bits
+                            apart = np.bitwise_count((left[at : at + step, None, :] ^ right[None, :, :]).view(np.uint64)).sum(2, dtype=np.int64)
                             ok = (x["root"][part][:, None] != y["root"][q][None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
                             u, v = np.nonzero(ok)
                             if len(u):
@@ -371,13 +372,15 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def hidden(cand: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame | None:
     """Rows (key, doc_id, root, ...) under which pairs may still be linked unseen.
 
-    Of its keys in large groups of several components a set needs as many as its others fall short of d+1, and by a
-    common order of the keys, smaller groups first, these may be its first: linked sets share one of them."""
+    Of its keys in large groups of several components a set dealt once needs as many as its others fall short of d+1, and
+    by a common order of the keys, smaller groups first, these may be its first; one dealt again (slack below 0) needs
+    all of them: linked sets share one."""
     rows = cand.where("key is not null").select("key", F.col("b").alias("doc_id"))
     rows = rows.join(roots, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     mixed = lambda r: r.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
     rows = written(rows.join(mixed(rows), "key"), "mixed")
-    short = rows.groupBy("doc_id").agg(F.count("*").alias("bad")).join(sets.select("doc_id", "slack"), "doc_id").where("bad > slack").select("doc_id", (F.col("bad") - F.col("slack")).alias("need"))
+    slack = sets.groupBy("doc_id").agg(F.min("slack").alias("slack"))  # a repeated doc_id is one node
+    short = rows.groupBy("doc_id").agg(F.count("*").alias("bad")).join(slack, "doc_id").where("bad > slack").select("doc_id", (F.col("bad") - F.col("slack")).alias("need"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "key"))
     rows = rows.join(short, "doc_id").withColumn("rank", rank).where("rank <= need").select("key", "doc_id", "root")
     rows = written(rows.join(mixed(rows).select("key"), "key"), "short")
