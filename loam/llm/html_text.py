@@ -4,8 +4,9 @@ Each page becomes a DOM tree (comments, scripts, styles and the like never enter
 Elements whose tag, role, class or id says that they are no article text (menus, page headers, footers, sidebars,
 notices, adverts, forms, reader comments) are cut off. Every node then has a composite density: characters per tag,
 raised or lowered by the share of characters and tags in links as against the whole body. The node with the largest
-sum of child densities is where the text is; the smallest density on its path to the body is the threshold, which
-other subtrees must reach to be taken as well. All text of the chosen subtrees is kept, block by block.
+sum of child densities is where the text is; the smallest density on its path to the body is the threshold. The
+outermost article or main element around that node is taken whole; subtrees outside it must reach the threshold to be
+taken as well. All text of the chosen subtrees is kept, block by block.
 
 Defined results: null or empty html, or a page without text: the empty string. Broken markup is read as a browser
 would, as far as nesting goes. Repeated rows give repeated results; an empty table gives no rows."""
@@ -198,6 +199,8 @@ def extract(page: str | None) -> str:
     threshold, node = best.density, best
     while node is not None:
         threshold = min(threshold, node.density)
+        if node.tag in ("article", "main"):
+            best = node
         node = node.parent
     # subtrees reaching the threshold: of each, the node with the largest sum; nested ones count once
     chosen, stack, path = [], [body], set()
