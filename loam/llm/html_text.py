@@ -52,15 +52,18 @@ OTHER_NAMES = frozenset(
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|$)", re.I)
 NAME = re.compile(r"[a-z]+")
+# Parts of a class or id by which it tells what a page has or lacks, not what the element is.
+STATES = frozenset("no not has with without enabled disabled".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "sum", "inside")
+    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "sum", "inside", "named", "articles")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.named, self.articles = False, 0
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
 
 
@@ -76,11 +79,34 @@ def is_other(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id") and not OTHER_NAMES.isdisjoint(NAME.findall(value)):
-            return True
     return False
 
 
+def is_named(attributes: str) -> bool:
+    """A class or id says that the element is no article text."""
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            for parts in map(NAME.findall, (m[2] or m[3] or m[4] or "").lower().split()):
+                if STATES.isdisjoint(parts) and not OTHER_NAMES.isdisjoint(parts):
+                    return True
+    return False
+
+
+def cut_named(body: Node) -> None:
+    """Cuts what class or id marks, but for elements that hold every article and main element of the page."""
+    order, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [p for p in node.parts if isinstance(p, Node)]
+    for node in reversed(order):
+        if node.parent is not None:
+            node.parent.articles += node.articles
+    for node in order:
+        if any(isinstance(p, Node) and p.named for p in node.parts):
+            node.parts = [p for p in node.parts if not isinstance(p, Node) or not p.named or 0 < p.articles == body.articles]
+
+
 def parse(page: str) -> Node:
     """The page's body as a tree without the elements that are no article text."""
     body = at = Node("body", None)
@@ -133,7 +159,13 @@ def parse(page: str) -> Node:
         node = Node(tag, at)
         if not is_other(tag, attributes, at.inside):
             at.parts.append(node)
+            named = bool(attributes) and is_named(attributes)
+            if tag in ("article", "main"):
+                node.articles = int(not named)
+            else:
+                node.named = named
         at = node
+    cut_named(body)
     return body
 
 

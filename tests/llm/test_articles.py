@@ -14,3 +14,12 @@ def test_article_is_taken_whole():
     for outer in ("article", "main"):
         page = f"<{outer}><h1>{head}</h1><section>{paragraphs}</section><section><p>{short}</p></section><ul>{''.join(f'<li>{x}</li>' for x in items)}</ul></{outer}>"
         assert extract(f"<body>{page}</body>").split("\n") == [head, *long, short, *items]
+
+
+def test_wrapper_of_the_article_stays():
+    """Classes that tell of a sidebar or menu elsewhere don't cut the article; real ones are cut still."""
+    text = "some text of the article " * 20
+    for name in ("class='content no-sidebar'", "class='has-sidebar'", "class='post-share-enabled'", "id='main-with-menu'", "class='sidebar-layout'"):
+        page = f"<body><div {name}><article><p>{text}</p></article><div class='sidebar-left'>side</div></div><div id=comments><article class='comment-body'>reader</article></div></body>"
+        assert extract(page) == text.strip(), name
+    assert extract(f"<body><div class='content no-sidebar'><p>{text}</p></div><div class='site-footer'>end</div></body>") == text.strip()
