@@ -2,7 +2,8 @@
 
 Words are runs of ASCII letters and digits and of non-ASCII bytes, lower case. Each template's K-word grams are hashed
 and winnowed (of each WINDOW consecutive hashes the smallest is kept) into an inverted index of fixed size, known on
-every executor. All grams of every text are looked up; hits of one template on nearby diagonals make a candidate, which
+every executor; a template of fewer than SHORT words has all its word pairs in the index instead, as edits may leave it
+no K words in a row. All grams of every text are looked up; hits of one template on nearby diagonals make a candidate, which
 is aligned word by word in a band around its diagonal. A match tells the share of the template's words that stand in
 order in the span, and the span in words and code points.
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from . import text as T
 from .common import small_arrow_batches
 
-K, WINDOW, BAND = 3, 2, 8
+K, WINDOW, BAND, SHORT = 3, 2, 8, 16
 
 # Notices and grants of public licences, as their texts prescribe them.
 TEMPLATES: dict[str, str] = {
@@ -67,11 +68,12 @@ class Index:
         w = Tokens(pa.array([templates[n] for n in self.names], pa.string()))
         x = w.hashes()
         self.words = [x[w.first[i] : w.first[i + 1]] for i in range(w.rows)]
-        h, at = T.grams(w, x, K)
         out = []
         for i in range(w.rows):
+            short = len(self.words[i]) < SHORT
+            h, at = T.grams(w, x, 2 if short else K)
             mine = np.flatnonzero(w.doc[at] == i)
-            keep = mine[winnow(h[mine], WINDOW)]
+            keep = mine if short else mine[winnow(h[mine], WINDOW)]
             out += [(h[j], i, at[j] - w.first[i]) for j in keep]
         out.sort()
         self.hash = np.array([o[0] for o in out], np.uint64)
@@ -135,7 +137,10 @@ def matches(index: Index, words: np.ndarray, place: np.ndarray, entry: np.ndarra
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """All matches of `least` coverage or more: one row for each, with spans (end exclusive)."""
+    """All matches of `least` coverage or more: one row for each, with spans (end exclusive).
+
+    Certain for words replaced or left out at `least` 0.8; words put in between count nothing, but where they leave a
+    template none of its indexed grams in a row, it is not found."""
     small_arrow_batches(docs.sparkSession)
     index = Index(templates or TEMPLATES)
 
@@ -145,7 +150,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
             for lo, hi in T.chunks(texts):
                 w = Tokens(texts[lo:hi])
                 x = w.hashes()
-                h, at = T.grams(w, x, K)
+                h, at = (np.concatenate(c) for c in zip(T.grams(w, x, 2), T.grams(w, x, K)))
                 first, past = np.searchsorted(index.hash, h, "left"), np.searchsorted(index.hash, h, "right")
                 hit = np.flatnonzero(past > first)
                 if not len(hit):
