@@ -6,14 +6,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .text import give_back
+
 #: Words are maximal runs of bytes other than these white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -26,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set (tests)."""
+    """The folder that the driver and all executors share; a temporary one only where none is set and all runs on one machine (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="loam-"))
         atexit.register(shutil.rmtree, _own_dir[0], True)
@@ -54,7 +59,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.loam_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table of a DataFrame that `written` returned, once nothing needs it."""
+    drop_path(df.sparkSession, df.loam_path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -62,7 +74,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def small_arrow_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch holds, whatever the length of the texts."""
+    """Bounds what one Arrow batch holds, whatever the length of the texts. The session keeps this setting, as the operators' tables are read later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
@@ -88,57 +100,129 @@ def numbered(df: DataFrame, group: str, cell: Column, order: list[Column], name:
     return rows.withColumn(name, F.col("_from") + F.col("_at")).drop("_cell", "_at", "_g", "_c", "_from")
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+ROOTED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def contracted(block: int):
+    """Replaces the edges of each block by stars: every node but the smallest of its component there points to that one.
+
+    Of a block a node leaves at most one edge as the larger end, however many it had. The last row's node and its root
+    stand in the next block too, so where rows come sorted by `a`, all edges of a larger end are contracted together."""
+
+    def run(batches):
+        last = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for a, b in blocks(batches, block):
+            a, b = np.concatenate([last[0], a]), np.concatenate([last[1], b])
+            nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+            while True:  # the smallest root on either side wins; then all jump to their roots' roots
+                before = root
+                root = root.copy()
+                low = np.minimum(root[x], root[y])
+                for side in (x, y):
+                    np.minimum.at(root, before[side], low)
+                    np.minimum.at(root, side, low)
+                root = root[root]
+                if np.array_equal(root, before):
+                    break
+            child = np.flatnonzero(root != np.arange(len(nodes)))
+            if len(last[0]):  # told already, unless its root has changed
+                known = np.searchsorted(nodes, last[0][0])
+                child = child[(child != known) | (nodes[root[child]] != last[1][0])]
+            end = x[-1:]
+            last = (nodes[end], nodes[root[end]]) if root[end[0]] != end[0] else (nodes[:0], nodes[:0])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root[child]])], schema=ROOTED)
+        give_back()
+
+    return run
+
+
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The two columns of consecutive batches, about `size` rows at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(h.num_rows for h in held) >= size:
+            yield tuple(np.concatenate([h.column(i).to_numpy() for h in held]) for i in (0, 1))
+            held = []
+    if sum(h.num_rows for h in held):
+        yield tuple(np.concatenate([h.column(i).to_numpy() for h in held]) for i in (0, 1))
+
+
+def components(edges: DataFrame, max_rounds: int = 60, block: int = 1 << 20) -> DataFrame:
     """Connected components of undirected `edges` (a, b): rows (id, root), root the smallest id reachable.
 
-    Alternating large-star and small-star steps over aggregated minima: a hub's neighbours are never gathered
-    in one place, and each round is written to the shared folder. Nodes without an edge are left out."""
+    Each round lets every node's parent step up to the parent's smallest parent, then contracts the edges, first where
+    they are and again where those of a larger end meet, by union-find over blocks of `block` edges: so at most one edge
+    a block of any node is moved. A root of very many nodes is the smaller end of its edges, whose join is one that
+    Spark splits where it is skewed. Each round is written to the shared folder. Where one block takes all edges, its
+    contraction is the answer. Nodes without an edge are left out."""
     spark = edges.sparkSession
-    edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = written(edges, "edges")
+    stars = lambda e: e.mapInArrow(contracted(block), "a bigint, b bigint")
+    dealt = lambda e: stars(stars(e).repartition(partitions(spark), "a").sortWithinPartitions("a"))
+    edges = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    if edges.count() < block:
+        new = written(stars(edges.coalesce(1)), "edges")
+        drop(edges)
+        return rooted(new)
+    edges, first = written(dealt(edges), "edges"), edges
+    drop(first)
     last = None
     for _ in range(max_rounds):
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = written(small, "edges")
+        up = edges.groupBy(F.col("a").alias("child")).agg(F.min("b").alias("up"))
+        at = edges.join(up, F.col("b") == F.col("child"), "left").select("a", F.coalesce("up", "b").alias("b"))
+        # what a node's parent was, it stays linked with: the parent has an edge of its own to `up`
+        new = written(dealt(at.union(up.select("child", "up"))), "edges")
+        drop(edges)
+        edges = new
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break
         last = now
     else:
         raise RuntimeError("components did not converge")
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(edges.select("b", "b")).groupBy("id").agg(F.min("root").alias("root"))
+    return rooted(edges)
+
+
+def rooted(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("id"), F.col("b").alias("root")).union(stars.select("b", "b").distinct())
 
 
-def marker(ids: DataFrame, bits: int = 1 << 23) -> Callable[[Column | str], Column]:
+class Marker:
     """A test that holds for every key in `ids` (a column `id`) and for few others, to be run where rows are read.
 
     It is a bitmap of a fixed `bits` bits (1 MB), set at the ids' hashes. Over very many ids it fills up: then it
     holds for more rows and saves less, and what follows it stays right."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("int")
-    at = ids.select(place("id").alias("at")).distinct().toArrow().column("at").to_numpy()
-    full = np.zeros(bits, bool)
-    full[at] = True
-    packed = np.packbits(full).tobytes()
 
-    @F.pandas_udf("boolean")
-    def marked(at: pd.Series) -> pd.Series:
-        held, i = np.frombuffer(packed, np.uint8), at.to_numpy()
-        return pd.Series((held[i >> 3] >> (7 - (i & 7))) & 1 == 1)
+    def __init__(self, ids: DataFrame, bits: int = 1 << 23):
+        self.bits = bits
+        full = np.zeros(bits, bool)
+        full[ids.select(self.place("id").alias("at")).distinct().toArrow().column("at").to_numpy()] = True
+        self.packed = np.packbits(full).tobytes()
+
+    def place(self, key: Column | str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.bits)).cast("int")
+
+    def has(self, at: np.ndarray) -> np.ndarray:
+        return (np.frombuffer(self.packed, np.uint8)[at >> 3] >> (7 - (at & 7))) & 1 == 1
+
+    def __call__(self, key: Column | str) -> Column:
+        has = self.has
+
+        @F.pandas_udf("boolean")
+        def marked(at: pd.Series) -> pd.Series:
+            return pd.Series(has(at.to_numpy()))
 
-    return lambda key: marked(place(key))
+        return marked(self.place(key))
 
 
 def only(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of `df` whose key is in `ids`; the marker drops most others before the shuffle of the semi-join."""
-    return df.where(marker(ids)(key)).join(ids.select("id").distinct(), F.col(key) == F.col("id"), "left_semi")
+    return df.where(Marker(ids)(key)).join(ids.select("id").distinct(), F.col(key) == F.col("id"), "left_semi")
 
 
 def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of `df` whose key is not in `ids`; rows that the marker clears are not shuffled."""
-    marked = F.coalesce(marker(ids)(key), F.lit(False))
+    marked = F.coalesce(Marker(ids)(key), F.lit(False))
     gone = ids.select(F.col("id").alias("__gone")).distinct()
     return df.where(~marked).unionByName(df.where(marked).join(gone, F.col(key) == F.col("__gone"), "left_anti"))

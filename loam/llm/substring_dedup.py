@@ -9,27 +9,32 @@ an independent family, doc_id, place). What windows a text shares is decided fro
 * equal a, another g: some of its windows may still be shared. The smallest doc_id of each (a, g) is read again at every
   place that holds it, and these windows alone are compared by two independent 64-bit hashes (the verification).
 
-`FingerprintIndex` keeps sorted immutable runs, one a batch, on shared storage. A new batch is merged with the
-live runs in one sorted stream by (a, g, doc_id); when `fanout` runs have gathered, they are compacted into one that
-keeps the smallest doc_id of each (a, g). Batches must come in ascending doc_id order to give the same as one batch.
+`FingerprintIndex` keeps sorted immutable runs, one a batch, on shared storage, dealt to buckets when they are written. A new
+batch's run is merge-joined with each live run, bucket by bucket; what shares an anchor goes with the batch into one stream
+sorted by (a, g, doc_id). When `fanout` runs have gathered, they are compacted by merge joins into one that keeps the smallest
+doc_id of each (a, g). Batches must come in ascending doc_id order to give the same as one batch. Of a passage that very
+many texts share, each Arrow batch of texts settles all but its smallest doc_id by itself, before anything is moved.
 
 Defined results: null, blank or short texts: nothing removed. A null doc_id neither loses words nor takes any. Rows
 with the same doc_id don't cover each other. Extra columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
-from pyspark.sql.window import Window
 
+from .. import manifest
 from . import text as T
-from .common import drop_path, marker, new_path, only, partitions, small_arrow_batches, written
+from .common import Marker, drop, drop_path, new_path, only, partitions, small_arrow_batches, written
 
 SEGMENT = "a bigint, g bigint, doc_id bigint, tag int, at int, n int"
-_SEGMENT = pa.schema([("a", pa.int64()), ("g", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("at", pa.int32()), ("n", pa.int32())])
+SEGMENT_COLUMNS = ("a", "g", "doc_id", "tag", "at", "n")
+_SEGMENT = pa.schema([("whole", pa.bool_()), ("a", pa.int64()), ("g", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("at", pa.int32()), ("n", pa.int32())])
 SPAN = "whole boolean, doc_id bigint, tag int, at int, n int"
 _SPAN = pa.schema([("whole", pa.bool_()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("at", pa.int32()), ("n", pa.int32())])
 
@@ -46,36 +51,44 @@ def window_min(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(size: int):
+    """All segments of the texts. Of equal (a, g) in one batch only the smallest doc_id's are open; the others are covered."""
     k = size // 2
-    base = 0x8CB92BA72F3D8DD7
 
     def run(batches):
         for batch in batches:
             ids, tags, texts = (batch.column(c) for c in ("doc_id", "tag", "text"))
+            out: list[list[np.ndarray]] = [[] for _ in range(5)]
             for lo, hi in T.chunks(texts):
                 w = T.Words(texts[lo:hi])
                 if len(w.start) < size:
                     continue
-                x = w.hashes()
-                n = len(x)
-                gram = T.mix(T.span_hash(x, np.arange(n - k + 1), np.arange(k, n + 1), base))
-                at = window_min(gram, size - k + 1)[: n - size + 1]
-                ok = np.flatnonzero(np.arange(n - size + 1) + size <= w.first[1:][w.doc[: n - size + 1]])
+                gram, whole = T.sequences(w.hashes(), k), T.sequences(w.hashes(1), size, 1)
+                at = window_min(gram, size - k + 1)
+                ok = np.flatnonzero(w.doc[: len(whole)] == w.doc[size - 1 :])
                 if not len(ok):
                     continue
                 new = np.ones(len(ok), bool)
                 new[1:] = (at[ok[1:]] != at[ok[:-1]]) | (ok[1:] != ok[:-1] + 1)
                 start = ok[new]
                 count = np.diff(np.concatenate([np.flatnonzero(new), [len(ok)]]))
-                g = T.span_hash(w.hashes(1), start, start + count + size - 1, base)
-                g = T.mix(g ^ T.mix((at[start] - start + 1000 * count).astype(np.uint64)))
+                # first and last window, which leave out no word of a segment, say all its words
+                g = T.mix(T.mix(whole[start]) + whole[start + count - 1] + (at[start] - start + 1000 * count).astype(np.uint64))
                 a, row = gram[at[start]], w.doc[start]
                 # a periodic text repeats one segment end to end: such a row of equals is one span
                 same = (a[1:] == a[:-1]) & (g[1:] == g[:-1]) & (row[1:] == row[:-1]) & (start[1:] == start[:-1] + count[:-1])
                 first = np.flatnonzero(np.concatenate([[True], ~same]))
                 a, g, row, start, count = a[first], g[first], row[first], start[first], np.add.reduceat(count, first)
-                where = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(g.view(np.int64)), ids[lo:hi].take(where), tags[lo:hi].take(where), pa.array((start - w.first[row]).astype(np.int32)), pa.array(count.astype(np.int32))], schema=_SEGMENT)
+                for held, x in zip(out, (a.view(np.int64), g.view(np.int64), row + lo, start - w.first[row], count)):
+                    held.append(x)
+            if out[0]:
+                a, g, row, at, n = (np.concatenate(x) for x in out)
+                doc = ids.to_numpy()[row]
+                order = np.lexsort((doc, g, a))
+                begin = np.flatnonzero(np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (g[order][1:] != g[order][:-1])]))
+                low = np.empty(len(a), np.int64)
+                low[order] = np.repeat(doc[order][begin], np.diff(np.concatenate([begin, [len(a)]])))
+                yield pa.RecordBatch.from_arrays([pa.array(doc > low), pa.array(a), pa.array(g), pa.array(doc), tags.take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], schema=_SEGMENT)
+        T.give_back()
 
     return run
 
@@ -140,7 +153,6 @@ _WINDOW = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64
 
 def windows(size: int):
     """Hashes of the windows that start in the listed spans."""
-    base = 0xA0761D6478BD642F
 
     def run(batches):
         for batch in batches:
@@ -156,54 +168,88 @@ def windows(size: int):
                 both = np.unique(np.stack([row, pos], 1), axis=0)
                 row, pos = both[:, 0], both[:, 1]
                 start = w.first[row] + pos
-                h = [T.mix(T.span_hash(w.hashes(j), start, start + size, base)).view(np.int64) for j in (0, 1)]
+                h = [T.sequences(w.hashes(j), size, j)[start].view(np.int64) for j in (0, 1)]
                 where = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), ids[lo:hi].take(where), tags[lo:hi].take(where), pa.array(pos.astype(np.int32))], schema=_WINDOW)
+        T.give_back()
 
     return run
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of segments on shared storage; `documents` gives the texts to verify against."""
-
-    def __init__(self, documents: DataFrame, size: int = 50, fanout: int = 2):
-        self.spark, self.size, self.fanout = documents.sparkSession, size, fanout
-        self.documents, self.runs, self.spans = documents, [], []
+    """Sorted immutable runs of segments in one folder of shared storage, with a manifest; `documents` gives the texts to verify against.
 
-    def run(self, rows: DataFrame) -> str:
-        path = new_path(self.spark, "run")
-        rows.sortWithinPartitions("a", "g", "doc_id").write.parquet(path)
-        return path
+    A run is dealt to buckets by its anchors and sorted once, when it is written; later it is merge-joined bucket by bucket, and
+    only rows whose anchor the new batch has as well are moved. A manifest version names the live runs; an index
+    opened at its path goes on from there. `path` and `buckets` are taken from the manifest of an index that exists."""
 
-    def rows(self, path: str) -> DataFrame:
-        return self.spark.read.schema(SEGMENT).parquet(path)
+    def __init__(self, documents: DataFrame, size: int = 50, fanout: int = 2, path: str | None = None, buckets: int | None = None):
+        self.spark, self.size, self.fanout = documents.sparkSession, size, fanout
+        self.path, self.documents, self.spans = path or new_path(self.spark, "index"), documents, []
+        self.version, held = manifest.newest(self.spark, f"{self.path}/manifest")
+        held = held or {"runs": [], "buckets": buckets or partitions(self.spark)}
+        self.runs, self.buckets = held["runs"], held["buckets"]
+        # of results these say nothing: sorted files count as sorted, and a join on (a, g) takes buckets of a
+        self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+    def run(self, rows: DataFrame, dealt: bool = False) -> str:
+        """Writes a run; `dealt`: the rows come in its buckets already."""
+        name = f"run_{uuid.uuid4().hex}"
+        rows = rows if dealt else rows.repartition(self.buckets, "a")
+        rows.select(*SEGMENT_COLUMNS).write.bucketBy(self.buckets, "a").sortBy("a", "g").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(name)
+        return name
+
+    def rows(self, name: str) -> DataFrame:
+        """A run, known to this session's catalog as a bucketed table."""
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} ({SEGMENT}) USING parquet CLUSTERED BY (a) SORTED BY (a, g) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(name)
+
+    def matched(self, name: str, anchors: DataFrame) -> DataFrame:
+        """Rows of an old run whose anchor is among those of another, both read bucket by bucket."""
+        return self.rows(name).join(anchors.hint("merge"), "a", "left_semi")
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Indexes a batch; returns its spans: (whole: covered, else to be verified; doc_id, tag, at, n)."""
         if len(self.runs) >= self.fanout:
             self.compact()
-        path = self.run(batch.where("doc_id is not null").select("doc_id", "tag", "text").mapInArrow(segments(self.size), SEGMENT))
-        rows = self.rows(path).withColumn("old", F.lit(False))
+        found = written(batch.where("doc_id is not null").select("doc_id", "tag", "text").mapInArrow(segments(self.size), f"whole boolean, {SEGMENT}"), "segments")
+        fresh = found.where("not whole").drop("whole")
+        name = self.run(fresh)
+        rows = fresh.withColumn("old", F.lit(False))
         for old in self.runs:
-            rows = rows.union(self.rows(old).withColumn("old", F.lit(True)))
-        self.runs.append(path)
+            rows = rows.union(self.matched(old, self.rows(name).select("a")).withColumn("old", F.lit(True)))
         stream = rows.repartition(partitions(self.spark), "a").sortWithinPartitions("a", "g", "doc_id")
-        self.spans.append(written(stream.mapInArrow(merged, SPAN), "spans"))
+        spans = found.where("whole").select("whole", "doc_id", "tag", "at", "n").union(stream.mapInArrow(merged, SPAN))
+        self.spans.append(written(spans, "spans"))
+        self.commit([*self.runs, name])
+        drop(found)
         return self.spans[-1]
 
     def compact(self) -> None:
-        """All live runs become one, with the smallest doc_id of each (a, g)."""
-        rows = self.rows(self.runs[0])
-        for path in self.runs[1:]:
-            rows = rows.union(self.rows(path))
-        low = rows.groupBy("a", "g").agg(F.min(F.struct("doc_id", "tag", "at", "n")).alias("s")).select("a", "g", "s.*")
-        path, old = self.run(low), self.runs
-        self.runs = [path]
-        for x in old:
-            drop_path(self.spark, x)
+        """All live runs become one, with the smallest doc_id of each (a, g), by merge joins of their buckets."""
+        least = lambda rows: rows.groupBy("a", "g").agg(F.min(F.struct("doc_id", "tag", "at", "n")).alias("s"))
+        rows = least(self.rows(self.runs[0]))
+        for name in self.runs[1:]:
+            more = least(self.rows(name)).withColumnRenamed("s", "t")
+            rows = rows.join(more.hint("merge"), ["a", "g"], "full").select("a", "g", F.least("s", "t").alias("s"))
+        old = self.runs
+        self.commit([self.run(rows.select("a", "g", "s.*"), dealt=True)])
+        self.remove(old)
+
+    def commit(self, runs: list[str]) -> None:
+        """The next manifest version; another index at the path that has made it already is an error."""
+        manifest.create(self.spark, f"{self.path}/manifest", self.version + 1, {"runs": runs, "buckets": self.buckets})
+        self.version, self.runs = self.version + 1, runs
+
+    def remove(self, runs: list[str]) -> None:
+        for name in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop_path(self.spark, f"{self.path}/{name}")
 
     def covered(self) -> DataFrame:
-        """All spans (doc_id, tag, at, n) of window starts that are covered, after verification."""
+        """All spans (doc_id, tag, at, n) of window starts that the batches added here have covered, after verification."""
         found = self.spans[0]
         for x in self.spans[1:]:
             found = found.union(x)
@@ -211,31 +257,37 @@ class FingerprintIndex:
         check = written(check, "check")
         texts = only(self.documents, check.select(F.col("doc_id").alias("id")))
         texts = texts.join(check, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
-        hashed = texts.mapInArrow(windows(self.size), WINDOW)
-        first = F.min("doc_id").over(Window.partitionBy("w1", "w2").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        late = hashed.withColumn("first", first).where("first < doc_id").select("doc_id", "tag", "at", F.lit(1).alias("n"))
+        hashed = written(texts.mapInArrow(windows(self.size), WINDOW), "windows")
+        low = hashed.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        late = hashed.join(low, ["w1", "w2"]).where("doc_id > first").select("doc_id", "tag", "at", F.lit(1).alias("n"))
         return found.where("whole").select("doc_id", "tag", "at", "n").union(late)
 
 
-def cut(size: int):
-    """Replaces the last column, the spans of each row's `text`, by its words' number, the number removed and the kept text."""
+def cut(size: int, marker: Marker | None = None):
+    """Replaces the last column, the spans of each row's `text`, by its words' number, the number removed and the kept text.
+    With a marker the last column is the row's place there: rows that it has are left out, the others have no spans."""
 
     def run(batches):
         for batch in batches:
+            if marker is not None:
+                batch = batch.filter(pa.array(~marker.has(batch.column(batch.num_columns - 1).to_numpy())))
             texts, lists = batch.column("text"), batch.column(batch.num_columns - 1)
             for lo, hi in T.chunks(texts):
                 w = T.Words(texts[lo:hi])
-                part = lists[lo:hi]
-                count, flat = np.diff(part.offsets.to_numpy()), part.flatten()
-                count = np.where(part.is_null().to_numpy(zero_copy_only=False), 0, count)
-                at = w.first[np.repeat(np.arange(hi - lo), count)] + flat.field("at").to_numpy()
-                step = np.zeros(len(w.start) + 1, np.int64)
-                np.add.at(step, at, 1)
-                np.add.at(step, at + flat.field("n").to_numpy() + size - 1, -1)
-                gone = np.cumsum(step[:-1]) > 0
+                gone = np.zeros(len(w.start), bool)
+                if marker is None:
+                    part = lists[lo:hi]
+                    count, flat = np.diff(part.offsets.to_numpy()), part.flatten()
+                    count = np.where(part.is_null().to_numpy(zero_copy_only=False), 0, count)
+                    at = w.first[np.repeat(np.arange(hi - lo), count)] + flat.field("at").to_numpy()
+                    step = np.zeros(len(w.start) + 1, np.int64)
+                    np.add.at(step, at, 1)
+                    np.add.at(step, at + flat.field("n").to_numpy() + size - 1, -1)
+                    gone = np.cumsum(step[:-1]) > 0
                 lost = np.concatenate([[0], np.cumsum(gone)])
                 new = [pa.array(w.count.astype(np.int64)), pa.array(lost[w.first[1:]] - lost[w.first[:-1]]), w.kept_text(gone)]
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[:-1]), *new], names=[*batch.schema.names[:-1], *NEW])
+        T.give_back()
 
     return run
 
@@ -250,33 +302,39 @@ def tagged(docs: DataFrame) -> DataFrame:
 
 
 def covered_spans(docs: DataFrame, size: int = 50, shares: tuple[float, ...] = (0.25, 0.5)) -> DataFrame:
-    """Covered spans of a table from `tagged`, fed to an index in batches that end at these quantiles of doc_id."""
+    """Covered spans (__d: doc_id, __t: tag, __spans) of a table from `tagged`, fed to an index in batches that end at these quantiles of doc_id."""
     small_arrow_batches(docs.sparkSession)
     index = FingerprintIndex(docs, size)
-    cuts = sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", list(shares), 0.02)))
+    at = docs.agg(F.percentile_approx("doc_id", [float(x) for x in shares], 1000).alias("at")).first()["at"]
+    cuts = sorted(set(at or []))
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = docs
         if low is not None:
-            part = part.where(F.col("doc_id") > int(low))
+            part = part.where(F.col("doc_id") > low)
         if high is not None:
-            part = part.where(F.col("doc_id") <= int(high))
+            part = part.where(F.col("doc_id") <= high)
         index.add(part)
-    return index.covered()
+    out = index.covered().groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n")).alias("__spans"))
+    out = written(out.select(F.col("doc_id").alias("__d"), F.col("tag").alias("__t"), "__spans"), "covered")
+    index.remove(index.runs)
+    for x in index.spans:
+        drop(x)
+    return out
 
 
 def cut_rows(docs: DataFrame, size: int = 50) -> DataFrame:
     """Every row and column of `docs`, with __n_words, __n_removed and __kept."""
-    spans = covered_spans(tagged(docs), size).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n")).alias("__spans"))
-    spans = written(spans.select(F.col("doc_id").alias("__d"), F.col("tag").alias("__t"), "__spans"), "covered")
+    spans = covered_spans(tagged(docs), size)
     rows = docs.withColumn("text", F.col("text").cast("string"))
-    # texts that no span can touch are not shuffled
-    marked = marker(spans.select(F.col("__d").alias("id")))(F.col("doc_id").cast("bigint"))
-    rest = rows.where(~F.coalesce(marked, F.lit(False))).withColumn("__spans", F.array().cast("array<struct<at:int,n:int>>"))
-    hit = rows.where(marked).withColumn("__tag", F.hash(F.coalesce("text", F.lit(""))))
+    # texts that no span can touch are not shuffled; each half reads the rows for itself, with one Python worker a task
+    marker, key = Marker(spans.select(F.col("__d").alias("id"))), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))
+    rest = rows.withColumn("__at", marker.place(key))
+    hit = rows.where(marker(key)).withColumn("__tag", F.hash(F.coalesce("text", F.lit(""))))
     hit = hit.join(spans, (F.col("doc_id") == F.col("__d")) & (F.col("__tag") == F.col("__t")), "left").drop("__d", "__t", "__tag")
     hit = hit.withColumn("__spans", F.coalesce("__spans", F.array().cast("array<struct<at:int,n:int>>")))
     kinds = S.StructType([*rows.schema.fields, S.StructField(NEW[0], S.LongType()), S.StructField(NEW[1], S.LongType()), S.StructField(NEW[2], S.StringType())])
-    return rest.unionByName(hit).select(*rows.columns, "__spans").mapInArrow(cut(size), kinds)
+    rest = rest.select(*rows.columns, "__at").mapInArrow(cut(size, marker), kinds)
+    return rest.unionByName(hit.select(*rows.columns, "__spans").mapInArrow(cut(size), kinds))
 
 
 def substring_dedup(docs: DataFrame, size: int = 50) -> DataFrame:

@@ -1,10 +1,14 @@
 """Vectorised text kernel: words and hashes of whole Arrow string columns with numpy, no Python loop over words.
 
-Word hashes are polynomial over the bytes modulo 2**64, then mixed with the length. Memory is about 60 bytes
-for each byte of text, so callers go through `chunks`, which cuts columns at row borders into small pieces."""
+A word is hashed eight bytes at a time, each block mixed with what came before; sequences of words are hashed by doubling,
+each half mixed with the other. Neither is a polynomial, so no pattern of letters or words makes unequal texts agree; two
+families, of other constants, agree by chance alone. Memory is about 20 bytes for each byte of text, so callers
+go through `chunks`, which cuts columns at row borders into small pieces; one longer text stands alone."""
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,13 +16,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK_BYTES = 1 << 20
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+CHUNK_BYTES = 1 << 18
+#: Words of more bytes are hashed one by one.
+LONG = 64
+_SEED = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
+_STEP = (U(0xC2B2AE3D27D4EB4F), U(0xA0761D6478BD642F))
+_JOIN = (U(0x8CB92BA72F3D8DD7), U(0xE7037ED1A0B428DB))
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], U)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns memory that a worker has freed to the system; called when a task has read all its rows."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,26 +44,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n at least."""
-    held = _powers.get(base)
-    if held is None or len(held[0]) < n:
-        size = max(n, 1 << 16)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, U(b))
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        held = _powers[base] = (out[0], out[1])
-    return held
-
-
-def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hashes of values[start:end], each independent of where it stands."""
-    p, inv = powers(base, len(values) + 1)
-    h = np.zeros(len(values) + 1, U)
-    np.cumsum(values.astype(U) * p[: len(values)], out=h[1:])
-    return (h[end] - h[start]) * inv[start]
+def sequences(x: np.ndarray, k: int, which: int = 0) -> np.ndarray:
+    """Hashes of x[i:i+k] for every i, from those of one, two, four and more values."""
+    n, have, width, out = len(x) - k + 1, 0, 1, None
+    if n <= 0:
+        return np.zeros(0, U)
+    while True:
+        if k & width:
+            piece = x[have : have + n]
+            out = piece if out is None else mix(out * _STEP[which] + piece)
+            have += width
+            if have == k:
+                return out
+        x = mix(x[:-width] * _JOIN[which] + x[width:])
+        width *= 2
 
 
 class Words:
@@ -63,11 +73,16 @@ class Words:
         self.rows = len(column)
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + self.rows + 1] if self.rows else np.zeros(1, np.int64)
         raw = column.buffers()[2]
-        data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and self.rows else np.zeros(0, np.uint8)
+        text = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and self.rows else np.zeros(0, np.uint8)
         self.offsets = offsets - offsets[0]
-        self.data = _LOWER[data] if lower else data
-        inside = np.zeros(len(data) + 2, np.int8)
-        inside[1:-1] = self.inside[data]
+        self.padded = np.zeros(len(text) + 8, np.uint8)
+        self.data = self.padded[: len(text)]
+        if lower:
+            np.take(_LOWER, text, out=self.data)
+        else:
+            self.data[:] = text
+        inside = np.zeros(len(text) + 2, np.int8)
+        inside[1:-1] = self.inside[self.data]
         step = np.diff(inside)
         self.start, self.end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         self.first = np.searchsorted(self.start, self.offsets)
@@ -76,8 +91,17 @@ class Words:
 
     def hashes(self, which: int = 0) -> np.ndarray:
         """A 64-bit hash of each word; `which` selects one of two independent families."""
-        h = span_hash(self.data.astype(U) + U(1), self.start, self.end, _BASES[which])
-        return mix(h ^ ((self.end - self.start).astype(U) * U(0xC2B2AE3D27D4EB4F)))
+        blocks = np.ndarray((len(self.data) + 1,), "<u8", self.padded, strides=(1,))
+        size = self.end - self.start
+        h = mix((blocks[self.start] & _BYTES[np.minimum(size, 8)]) + (size.astype(U) + U(1)) * _SEED[which])
+        more, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(more):
+            left = size[more] - at
+            h[more] = mix(h[more] * _STEP[which] + (blocks[self.start[more] + at] & _BYTES[np.minimum(left, 8)]))
+            more, at = more[left > 8], at + 8
+        for i in np.flatnonzero(size > LONG):
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8, salt=bytes([which])).digest())
+        return h
 
     def kept_text(self, gone: np.ndarray) -> pa.Array:
         """Each row's words but those that are gone, joined by one space."""
@@ -114,13 +138,11 @@ def chunks(*columns: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         at = to
 
 
-def grams(words: Words, x: np.ndarray, k: int, base: int = _BASES[0]) -> tuple[np.ndarray, np.ndarray]:
+def grams(words: Words, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-word sequences inside one row, and the index of each one's first word."""
-    at = np.flatnonzero(np.arange(len(x)) + k <= words.first[1:][words.doc]) if len(x) else np.zeros(0, np.int64)
-    h = np.zeros(len(at), U)
-    for j in range(k):
-        h = h * U(base) + x[at + j]
-    return mix(h), at
+    h = sequences(x, k)
+    at = np.flatnonzero(words.doc[: len(h)] == words.doc[k - 1 :]) if len(h) else np.zeros(0, np.int64)
+    return h[at], at
 
 
 def shingle_sets(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -130,11 +152,11 @@ def shingle_sets(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     doc = words.doc[at]
     short = np.flatnonzero((words.count > 0) & (words.count < k))
     if len(short):
-        extra = np.zeros(len(short), U)
+        extra = words.count[short].astype(U) * _SEED[1]
         for j in range(k - 1):
             has = words.count[short] > j
-            extra[has] = extra[has] * U(_BASES[1]) + x[words.first[short[has]] + j] + U(j + 1)
-        h, doc = np.concatenate([h, mix(extra ^ words.count[short].astype(U))]), np.concatenate([doc, short.astype(doc.dtype)])
+            extra[has] = mix(extra[has] * _JOIN[1] + x[words.first[short[has]] + j])
+        h, doc = np.concatenate([h, extra]), np.concatenate([doc, short.astype(doc.dtype)])
     order = np.argsort(h)
     narrow = doc[order].astype(np.uint16) if words.rows < 65536 else doc[order]
     order = order[np.argsort(narrow, kind="stable")]

@@ -17,9 +17,10 @@ def test_components(spark):
         for a, b in edges:
             if a is not None:
                 root[a] = root[b] = min(root[a], root[b])
-    got = {x.id: x.root for x in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     alone = {x for x in root if not any(x in e and e[0] != e[1] and None not in e for e in edges)}
-    assert got == {k: v for k, v in root.items() if k not in alone}
+    for block in (1 << 20, 2, 7, 50):  # in one block, and in many, round after round
+        got = [(x.id, x.root) for x in C.components(spark.createDataFrame(edges, "a long, b long"), block=block).collect()]
+        assert len(got) == len(root) - len(alone) and dict(got) == {k: v for k, v in root.items() if k not in alone}
     assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
