@@ -1,13 +1,15 @@
 """Packing by optimal length buckets.
 
-Lengths are counted into one global histogram, at most a few thousand bins whatever the table's size: exact up to
-EXACT, beyond it bins of 1/512 of their length. A dynamic programme over the bins' largest lengths chooses the bucket
+Lengths are counted into one global histogram, one bin a length: n different lengths need n * n / 2 tokens at least, so
+they are few however large the table is. `coarse`, off unless asked for, joins lengths that agree in their highest bits, for
+tables whose lengths are spread too wide to be exact. A dynamic programme over the bins' largest lengths chooses the bucket
 boundaries that minimise the padding of all rows; inside a bucket, rows are numbered without gaps and every
 floor(budget / boundary) of them form a batch, so a batch of padded rows stays within the token budget.
 
 Defined results: null or blank text: length 0, packed as a row of length 0 in the first bucket (padded to its
-boundary). A row longer than the budget is a batch of its own. Ties between equal boundaries' costs take the lower
-boundary. An empty table gives no rows."""
+boundary). A row longer than the budget is a batch of its own. Ties between equal costs take the lower boundary. Rows with a
+null key come first, equal keys are ordered by length; repeated rows have places of their own, in any order. Extra columns
+stay in `pack` (its own names are replaced) and are left out by `pack_documents`; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -17,43 +19,58 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, hash52, numbered
 
-EXACT, CELLS = 2048, 4096
+CELLS, NARROW = 4096, 64
 
 
-def bin_of(length: Column) -> Column:
-    """Exact up to EXACT; beyond it, the length with all bits below its ten highest set to one."""
-    drop = F.greatest(F.length(F.bin(length)) - 10, F.lit(0))
-    low = F.pow(F.lit(2.0), drop).cast("bigint")
-    return F.when(length <= EXACT, length).otherwise((F.floor(length / low) * low + low - 1).cast("bigint"))
+def bin_of(length: Column, coarse: int | None) -> Column:
+    """The length; with `coarse`, all bits below its highest `coarse` ones set to one."""
+    if coarse is None:
+        return length
+    low = F.pow(F.lit(2.0), F.greatest(F.length(F.bin(length)) - coarse, F.lit(0))).cast("bigint")
+    return (F.floor(length / low) * low + low - 1).cast("bigint")
 
 
 def boundaries(top: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: int) -> list[int]:
     """Boundaries (largest lengths of the buckets, ascending) of least padding for bins with these largest lengths, counts and sums of lengths.
 
-    cost[k][j], the least padding of the first j bins in k buckets, comes by divide and conquer over the monotone last cut."""
+    cost[j], the least padding of the first j bins in so many buckets, comes by divide and conquer over the monotone last
+    cut; ranges of NARROW bins or less are computed at once."""
     n = len(top)
     if not n:
         return []
-    c, s = np.concatenate([[0], np.cumsum(count)]).astype(float), np.concatenate([[0], np.cumsum(total)]).astype(float)
-    pad = lambda i, j: top[j - 1] * (c[j] - c[i]) - (s[j] - s[i])  # noqa: E731  bins i..j-1 in one bucket
-    cost = np.full(n + 1, np.inf)
+    top = top.astype(np.int64)
+    c, s = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (count, total))
+    never = np.int64(1 << 62)
+    cost = np.full(n + 1, never)
     cost[0] = 0
     cuts = []
     for _ in range(min(buckets, n)):
-        now, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+        now, cut = np.full(n + 1, never), np.zeros(n + 1, np.int64)
         todo = [(1, n, 0, n - 1)]
         while todo:
             lo, hi, a, b = todo.pop()
             if lo > hi:
                 continue
-            j = (lo + hi) // 2
-            i = np.arange(a, min(b, j - 1) + 1)
-            v = cost[i] + pad(i, j)
-            k = int(np.argmin(v))
-            now[j], cut[j] = v[k], i[k]
-            todo += [(lo, j - 1, a, int(i[k])), (j + 1, hi, int(i[k]), b)]
+            narrow = hi - lo < NARROW
+            j = np.arange(lo, hi + 1) if narrow else np.array([(lo + hi) // 2])
+            i = np.arange(a, min(b, j[-1] - 1) + 1)
+            # bins i..j-1 in one bucket; a step of the matrix holds as many columns as its rows leave room for
+            best, at = np.full(len(j), never), np.full(len(j), a)
+            for k in range(0, len(i), step := max(1, (1 << 20) // len(j))):
+                part = i[k : k + step]
+                v = cost[part][None, :] + top[j - 1][:, None] * (c[j][:, None] - c[part][None, :]) - (s[j][:, None] - s[part][None, :])
+                v = np.where((part[None, :] < j[:, None]) & (cost[part] < never)[None, :], v, never)
+                least = np.argmin(v, 1)
+                v = v[np.arange(len(j)), least]
+                at = np.where(v < best, part[least], at)
+                best = np.minimum(best, v)
+            now[j], cut[j] = best, at
+            if not narrow:
+                todo += [(lo, int(j[0]) - 1, a, int(at[0])), (int(j[0]) + 1, hi, int(at[0]), b)]
         cuts.append(cut)
         cost = now
+        if cost[n] == 0:
+            break
     out, j = [], n
     for cut in reversed(cuts):
         if j <= 0:
@@ -63,9 +80,9 @@ def boundaries(top: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: i
     return out[::-1]
 
 
-def pack(rows: DataFrame, length: str, key: str, buckets: int = 16, budget: int = 65536) -> DataFrame:
+def pack(rows: DataFrame, length: str, key: str, buckets: int = 16, budget: int = 65536, coarse: int | None = None) -> DataFrame:
     """Adds bucket, boundary (its padded length), batch (number within the bucket), slot (place within the batch)."""
-    rows = rows.withColumn("_bin", bin_of(F.col(length)))
+    rows = rows.withColumn("_bin", bin_of(F.col(length), coarse))
     hist = rows.groupBy("_bin").agg(F.max(length).alias("top"), F.count("*").alias("n"), F.sum(length).alias("total")).orderBy("_bin").toArrow()
     ends = boundaries(*(hist.column(x).to_numpy() for x in ("top", "n", "total")), buckets)
     if not ends:
