@@ -2,17 +2,22 @@
 
 Trusted positives and unlabelled web text, each a bounded sample of the training rows (SAMPLE, taken by hash order),
 give a linear model over binned text measurements that minimises the non-negative unbiased risk
-pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)]) with the sigmoid loss and the class prior pi, estimated as the share
-of positives among the labelled training rows (`prior` overrides it). Fitting runs on the driver, over samples of fixed
+pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)]) with the sigmoid loss. The class prior pi is estimated from the positives
+and the unlabelled texts alone (`prior` overrides it): whatever texts a region of scores holds, the share of the unlabelled there
+is at least pi times that of the positives, so the least ratio over the regions above a score, on halves that the scoring
+model has not seen, is taken for pi (`estimated_prior`). Labels say which texts are positives; negatives are never
+used. Fitting runs on the driver, over samples of fixed
 size; scoring is one pass over whole texts without a shuffle. Labels come only from rows whose crc32(doc_id as text)
 mod 3 is not 1; doc_id, lang and source are no inputs of a score.
 
 Defined results: null, empty and blank texts get a score as any other. A null doc_id is never used in training. Equal
-texts have equal scores. Without any labelled training row, every score is the prior 0.5 (predicted 1). An empty table
+texts have equal scores, repeated rows too; of a doc_id with several texts all count in training. Without any positive training row, every score is the prior 0.5 (predicted 1). An empty table
 gives no rows; extra columns are ignored."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -122,6 +127,31 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     return Model(edges, w[:-1].reshape(k, width), float(w[-1]))
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, slack: float = 0.01, doubt: float = 0.1, rounds: int = 5) -> float:
+    """The share of positives among the unlabelled texts: for every second text, by a model of the others, the least ratio of
+    unlabelled to positive texts scored at a threshold or above; the mean of the two.
+
+    Of the thresholds that one counts for which the ratio plus its sampling error, at confidence 1 - `doubt`, is least. The models,
+    which only rank, are fitted with prior 1/2 first, and then with what the round before has found."""
+    halves = [(positive[h::2], unlabelled[h::2], positive[1 - h :: 2], unlabelled[1 - h :: 2]) for h in (0, 1)]
+    halves = [h for h in halves if all(map(len, h))]
+    if not halves:
+        return 0.5
+    prior = 0.5
+    for _ in range(rounds):
+        found = []
+        for p, u, other_p, other_u in halves:
+            model = fit(other_p, other_u, prior)
+            sp, su = np.sort(model.score(p)), np.sort(model.score(u))
+            at = np.unique(sp)
+            above_p, above_u = (1 - np.searchsorted(s, at) / len(s) for s in (sp, su))
+            error = sum(np.sqrt(np.log(4 / doubt) / (2 * n)) for n in (len(p), len(u)))
+            best = int(np.argmin((above_u + (1 + slack) * error) / above_p))
+            found.append(above_u[best] / above_p[best])
+        prior = float(min(1.0, np.mean(found)))
+    return prior
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
@@ -130,11 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float
     """A model from at most `sample` positives and as many unlabelled rows, the first by a hash of doc_id."""
     usable = lambda df: df.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     first = lambda df, seed: df.select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), "doc_id").limit(sample)
-    known = usable(labels).where("quality is not null")
-    share = known.agg(F.avg((F.col("quality") == 1).cast("double")), F.count("*")).first()
-    if not share[1] or not share[0]:
-        return None
-    ids = first(known.where("quality = 1"), 1).withColumn("positive", F.lit(True)).union(first(usable(docs), 2).withColumn("positive", F.lit(False)))
+    ids = first(usable(labels).where("quality = 1"), 1).withColumn("positive", F.lit(True)).union(first(usable(docs), 2).withColumn("positive", F.lit(False)))
     kinds = ids.groupBy(F.col("doc_id").alias("id")).agg(F.bool_or("positive").alias("p"), F.bool_or(~F.col("positive")).alias("u"))
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(kinds), F.col("doc_id") == F.col("id")).select("p", "u", "text")
 
@@ -152,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float
     x, p, u = x[order], found.column("p").to_numpy()[order], found.column("u").to_numpy()[order]
     if not p.any() or not u.any():
         return None
-    return fit(x[p], x[u], prior if prior is not None else min(float(share[0]), 0.999))
+    return fit(x[p], x[u], prior if prior is not None else estimated_prior(x[p], x[u]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float | None = None, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
@@ -164,10 +190,12 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: fl
     else:
 
         @F.pandas_udf("double")
-        def score(text: pd.Series) -> pd.Series:
-            column = pa.Array.from_pandas(text, type=pa.large_string())
-            parts = [model.score(measure(column[lo:hi])) for lo, hi in T.chunks(column)]
-            return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for text in texts:
+                column = pa.Array.from_pandas(text, type=pa.large_string())
+                parts = [model.score(measure(column[lo:hi])) for lo, hi in T.chunks(column)]
+                yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+            T.give_back()
 
         value = score(F.coalesce(F.col("text").cast("string"), F.lit("")))
     out = docs.withColumn(names[1], value)
