@@ -1,15 +1,19 @@
 """HTML extraction by composite text density.
 
-Each page becomes a DOM tree (comments, scripts, styles and the like never enter it; missing end tags are implied).
-Elements whose tag, role, class or id says that they are no article text (menus, page headers, footers, sidebars,
-notices, adverts, forms, reader comments) are cut off. Every node then has a composite density: characters per tag,
+Each page becomes a DOM tree (comments, scripts, styles and the like never enter it; missing end tags are implied; elements
+nested deeper than DEEPEST stand beside each other, as in browsers). The tree is read in one pass: no markup makes it
+look at a character again and again. Elements whose tag, role, class or id says that they are no article text (menus, page headers,
+footers, sidebars, notices, adverts, forms, reader comments) are cut off, unless they hold what text there is: see `cut_marked`.
+Every node then has a composite density: characters per tag,
 raised or lowered by the share of characters and tags in links as against the whole body. The node with the largest
 sum of child densities is where the text is; the smallest density on its path to the body is the threshold. The
 outermost article or main element around that node is taken whole; subtrees outside it must reach the threshold to be
 taken as well. All text of the chosen subtrees is kept, block by block.
 
 Defined results: null or empty html, or a page without text: the empty string. Broken markup is read as a browser
-would, as far as nesting goes. Repeated rows give repeated results; an empty table gives no rows."""
+would, as far as nesting goes. Of nodes with equal sums the first in page order counts. Repeated rows give repeated results;
+extra columns are ignored, clashing names too; an empty table gives no rows. A page is held whole, with about 50 bytes a
+character of markup."""
 
 from __future__ import annotations
 
@@ -22,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_arrow_batches
+from .text import give_back
 
 # Fixed values of HTML: elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp template svg math object canvas".split())
+RAW = frozenset("script style textarea title iframe xmp".split())
+# These are left out as well, where they end.
+SKIPPED = frozenset("noscript template svg math object canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -42,133 +49,218 @@ IMPLIED = {
     "tbody": (("thead", "tbody", "tr", "td", "th"), ("table",)),
     "tfoot": (("thead", "tbody", "tr", "td", "th"), ("table",)),
 }
-# What marks an element as no part of the article.
-OTHER_TAGS = frozenset("nav footer aside form button select dialog menu".split())
+# Chosen, not fixed: what marks an element as no part of the article. FORM wraps whole pages at times.
+OTHER_TAGS = frozenset("nav footer aside button select dialog menu".split())
+FORM = "form"
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 OTHER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored sponsors promo promoted promotion banner breadcrumb breadcrumbs menu menus nav navbar navigation sidebar sidebars footer topbar masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login comment comments disqus replies respond reply share sharing social related recommended widget widgets toolbar pagination pager skip".split()
 )
+#: Parts that may stand beside such a name in a class or id that still says what the element is.
+PLAIN_PARTS = frozenset("area bar block body box button buttons column container content footer global header inner item items left links list main outer page right section site text top bottom wrap wrapper thread form".split())
+#: Classes and ids of the article itself.
+OWN_NAMES = frozenset("article content entry main post story text body page container wrapper content-area main-content page-content post-content entry-content article-content article-body post-body entry-body story-body main-text article-text".split())
+#: Parts of a class or id by which it tells what a page has or lacks, not what the element is.
+STATES = frozenset("no not has with without enabled disabled".split())
+#: Shares of the text around that keep an element whose name is doubtful, or certain.
+HALF, ALL = 0.5, 0.95
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+# Quotes count in values only; possessive, so that no character is tried twice.
+ATTRIBUTES = re.compile(r"(?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+>", re.S)
+NAME = re.compile(r"[A-Za-z][^\s/>\x00]*")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|$)", re.I)
-NAME = re.compile(r"[a-z]+")
-# Parts of a class or id by which it tells what a page has or lacks, not what the element is.
-STATES = frozenset("no not has with without enabled disabled".split())
+PART = re.compile(r"[a-z]+")
+DEEPEST = 512
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "sum", "inside", "named", "articles")
+    """An element; `mark` is None, or the share of the text around that keeps it (2: none does)."""
+
+    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "sum", "inside", "mark", "articles", "depth", "clear")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
-        self.named, self.articles = False, 0
+        self.mark: float | None = None
+        self.articles, self.clear = 0, False
+        self.depth = parent.depth + 1 if parent is not None else 0
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
 
 
-def is_other(tag: str, attributes: str, inside: bool) -> bool:
-    """inside: within an article or main element, whose own header belongs to it."""
+def mark_of(tag: str, attributes: str, inside: bool) -> float | None:
+    """What an element's tag, role, class or id makes of it. inside: within an article or main element, whose own header belongs to it."""
     if tag in OTHER_TAGS or (tag == "header" and not inside):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return ALL
+    mark = HALF if tag == FORM else None
+    if not attributes:
+        return mark
+    own = tag in ("article", "main")
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "role" and value.strip() in OTHER_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+        if name == "role" and value.strip() in OTHER_ROLES:
+            mark = ALL
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return 2.0
+        elif name in ("class", "id"):
+            for word in value.split():
+                own = own or word in OWN_NAMES
+                parts = PART.findall(word)
+                if OTHER_NAMES.isdisjoint(parts) or not STATES.isdisjoint(parts):
+                    continue
+                certain = all(x in OTHER_NAMES or x in PLAIN_PARTS for x in parts)
+                mark = max(mark or 0, ALL if certain else HALF)
+    return HALF if mark is not None and own else mark
 
 
-def is_named(attributes: str) -> bool:
-    """A class or id says that the element is no article text."""
-    for m in ATTRIBUTE.finditer(attributes):
-        if m[1].lower() in ("class", "id"):
-            for parts in map(NAME.findall, (m[2] or m[3] or m[4] or "").lower().split()):
-                if STATES.isdisjoint(parts) and not OTHER_NAMES.isdisjoint(parts):
-                    return True
-    return False
-
-
-def cut_named(body: Node) -> None:
-    """Cuts what class or id marks, but for elements that hold every article and main element of the page."""
-    order, stack = [], [body]
+def cut_marked(body: Node) -> None:
+    """Cuts what is marked: from the outermost inwards, each marked element whose text outside links is no larger than its
+    mark's share of the nearest article's or, without one, the body's. So a doubtful name (`post related-content`) does not cut
+    half the article, and no name all of a page. An element without an article or main element goes where the page has one
+    elsewhere; one that holds every one of them stays."""
+    order, stack = [], [(body, False)]
     while stack:
-        node = stack.pop()
+        node, link = stack.pop()
         order.append(node)
-        stack += [p for p in node.parts if isinstance(p, Node)]
+        link = link or node.tag == "a"
+        for p in node.parts:
+            if isinstance(p, Node):
+                stack.append((p, link))
+            elif not link:
+                node.chars += len("".join(p.split()))
     for node in reversed(order):
+        if node.tag in ("article", "main") and node.mark is None:
+            node.articles += 1
         if node.parent is not None:
             node.parent.articles += node.articles
+            if node.mark != 2.0:
+                node.parent.chars += node.chars
+    stack = [(body, body)]
+    while stack:
+        node, scope = stack.pop()
+        if node.articles and node.tag in ("article", "main"):
+            scope = node
+        kept = []
+        for p in node.parts:
+            if isinstance(p, Node):
+                if p.mark is not None:
+                    if body.articles and not scope.inside:
+                        stays = p.mark != 2.0 and p.articles == body.articles
+                    else:
+                        stays = p.chars > p.mark * scope.chars
+                    if not stays:
+                        continue
+                stack.append((p, scope))
+            kept.append(p)
+        node.parts = kept
     for node in order:
-        if any(isinstance(p, Node) and p.named for p in node.parts):
-            node.parts = [p for p in node.parts if not isinstance(p, Node) or not p.named or 0 < p.articles == body.articles]
+        node.chars = 0
 
 
 def parse(page: str) -> Node:
     """The page's body as a tree without the elements that are no article text."""
     body = at = Node("body", None)
-    pos, end = 0, len(page)
+    pos, end, last = 0, len(page), page.rfind(">")
+    count: dict[str, int] = {}  # open elements by tag
+    endless: set[str] = set()  # tags of which no end follows
+    lenient = False  # a tag was found that only the page's end would close
+
+    def up_to(node: Node) -> None:
+        """Ends all open elements below `node`."""
+        nonlocal at
+        while at is not node:
+            count[at.tag] -= 1
+            at = at.parent
+
     while pos < end:
-        m = TOKEN.search(page, pos)
-        if m is None:
+        start = page.find("<", pos)
+        if start < 0 or start > last:
             at.parts.append(page[pos:])
             break
-        if m.start() > pos:
-            at.parts.append(page[pos : m.start()])
-        pos = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag or tag in ("html", "body", "head"):
+        if start > pos:
+            at.parts.append(page[pos:start])
+        if page.startswith("<!--", start):
+            close = page.find("-->", start + 4)
+            pos = close + 3 if close >= 0 else end
             continue
-        if m[1] or m[4]:
-            node = at
-            while node is not body and node.tag != tag:
-                node = node.parent
-            if node is not body:
-                at = node.parent
+        if page[start + 1 : start + 2] in ("!", "?"):
+            pos = page.find(">", start) + 1
+            continue
+        ends_one = page.startswith("/", start + 1)
+        name = NAME.match(page, start + 1 + ends_one)
+        if name is None:
+            at.parts.append("<")
+            pos = start + 1
+            continue
+        whole = None if lenient else ATTRIBUTES.match(page, name.end())
+        if whole is None:
+            lenient = True
+            pos = page.find(">", name.end()) + 1
+            if not pos:
+                at.parts.append(page[start:])
+                break
+        else:
+            pos = whole.end()
+        attributes, tag = page[name.end() : pos - 1], name[0].lower()
+        if tag in ("html", "body", "head"):
+            continue
+        if ends_one:
+            if count.get(tag):
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                up_to(node.parent)
             elif tag == "p":
                 Node("p", at)
             continue
-        attributes = m[3] or m[6] or ""
-        if tag in RAW and not attributes.rstrip().endswith("/"):
+        closed = attributes.rstrip().endswith("/")
+        if (tag in RAW or tag in SKIPPED) and not closed and tag not in endless:
             close = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(page, pos)
-            pos = close.end() if close else end
-            continue
-        if tag in CLOSES_P:
+            if close or tag in RAW:
+                pos = close.end() if close else end
+                continue
+            endless.add(tag)
+        if tag in CLOSES_P and count.get("p") and not at.clear:
             node = at
             while node is not body and node.tag not in ("p", "td", "th", "table", "button", "object", "caption") and node.tag not in CLOSES_P:
                 node = node.parent
             if node.tag == "p":
-                at = node.parent
+                up_to(node.parent)
+            else:
+                at.clear = True
         if tag in IMPLIED:
             ends, within = IMPLIED[tag]
-            node, last = at, None
-            while node is not body and node.tag not in within:
+            node, outer, left = at, None, sum(count.get(x, 0) for x in ends)
+            while left and node.tag not in within:
                 if node.tag in ends:
-                    last = node
+                    outer, left = node, left - 1
                 node = node.parent
-            if last is not None:
-                at = last.parent
-        if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK:
+            if outer is not None:
+                up_to(outer.parent)
+        if tag in VOID or closed and tag not in BLOCK:
             at.parts.append("\n" if tag == "hr" else " ")
             if tag == "hr":
                 at.parts.append(Node("hr", at))
             continue
+        if at.depth >= DEEPEST:
+            up_to(at.parent)
         node = Node(tag, at)
-        if not is_other(tag, attributes, at.inside):
-            at.parts.append(node)
-            named = bool(attributes) and is_named(attributes)
-            if tag in ("article", "main"):
-                node.articles = int(not named)
-            else:
-                node.named = named
+        node.mark = mark_of(tag, attributes, at.inside)
+        at.parts.append(node)
+        count[tag] = count.get(tag, 0) + 1
         at = node
-    cut_named(body)
+    cut_marked(body)
     return body
 
 
+def composite(chars: float, tags: float, link_chars: float, link_tags: float, plain_chars: float, share: float) -> float:
+    """The composite density of a node: characters per tag, times the logarithm of (characters per link character) times (tags
+    per link tag) to the base ln(chars / plain_chars * link_chars + share * chars + e), `share` being the body's share of
+    characters in links. Counts are at least 1; below 0 it counts as 0."""
+    base = math.log(chars / plain_chars * link_chars + share * chars + math.e)
+    return max(0.0, chars / tags * math.log(chars / link_chars * (tags / link_tags)) / math.log(base))
+
+
 def measure(body: Node) -> list[Node]:
     """Sets counts and densities; all nodes, parents first."""
     order, stack = [], [(body, False)]
@@ -197,8 +289,7 @@ def measure(body: Node) -> list[Node]:
     for node in reversed(order):
         c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
         if c:
-            base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + share * c + math.e)
-            node.density = c / t * math.log(max(c / lc * (t / lt), 1.0000001)) / base
+            node.density = composite(c, t, lc, lt, max(c - node.link_chars, 1), share)
         node.sum = sum(p.density for p in node.parts if isinstance(p, Node))
     return order
 
@@ -263,6 +354,7 @@ def extract_pages(pages: DataFrame, column: str = "html") -> DataFrame:
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([extract(h) for h in batch.column(2).to_pylist()], pa.string())], names=["page_id", "url", "text"])
+        give_back()
 
     out = rows.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
     return out.withColumn("n_chars", F.length("text").cast("bigint"))
