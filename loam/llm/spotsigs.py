@@ -132,30 +132,38 @@ def compared(batches):
                 ],
                 schema=_COMPARED,
             )
+    T.give_back()
 
 
 def with_neighbours(docs: DataFrame) -> DataFrame:
-    """Rows dealt by ranges of doc_id, and of each range's end, and of the last of all, a second copy as the guest of the next range."""
+    """Rows dealt by ranges of doc_id, and of each range's last doc_id, and of the last of all, a second copy as the guest of the next range.
+
+    The bounds of the ranges may be any numbers near the quantiles; the ranges' last doc_ids, one a range, are counted exactly."""
     spark = docs.sparkSession
-    low = -(1 << 63)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("_id", F.coalesce("doc_id", F.lit(low)))
+    docs = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     n = partitions(spark)
-    bounds = np.unique(np.array(docs.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n), np.float64).astype(np.int64)) if n > 1 else np.zeros(0, np.int64)
-    last = docs.agg(F.max("_id")).first()[0]
+    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("at")).first()["at"] if n > 1 else None
+    bounds = np.array(sorted(set(found or [])), np.int64)
 
     @F.pandas_udf("int")
     def range_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, ids.to_numpy(), "left").astype(np.int32))
 
-    @F.pandas_udf("boolean")
-    def ends(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.isin(ids.to_numpy(), bounds))
+    last = sorted((r.bucket, r.last) for r in docs.select("_id", range_of("_id").alias("bucket")).groupBy("bucket").agg(F.max("_id").alias("last")).collect())
+    ends = np.array([x for _, x in last], np.int64)
+    after = np.array([*(b for b, _ in last[1:]), *(b for b, _ in last[:1])], np.int32)  # the first range follows the last one
 
-    docs = docs.withColumn("bucket", range_of("_id")).withColumn("end", ends("_id"))
-    own, next_, first = F.struct("bucket", F.lit(False).alias("guest")), F.struct((F.col("bucket") + 1).alias("bucket"), F.lit(True).alias("guest")), F.struct(F.lit(0).alias("bucket"), F.lit(True).alias("guest"))
-    places = F.concat(F.array(own), F.when(F.col("end"), F.array(next_)).otherwise(F.array().cast("array<struct<bucket:int,guest:boolean>>")), F.when(F.col("_id") == F.lit(last), F.array(first)).otherwise(F.array().cast("array<struct<bucket:int,guest:boolean>>")))
-    rows = docs.select("doc_id", "_id", "text", F.explode(places).alias("p")).select("doc_id", "_id", "text", "p.bucket", "p.guest")
+    @F.pandas_udf("int")
+    def guest_of(ids: pd.Series) -> pd.Series:
+        """The range that a row is the guest of; -1 if of none."""
+        x = ids.to_numpy()
+        at = np.minimum(np.searchsorted(ends, x), max(len(ends) - 1, 0))
+        return pd.Series(np.where(ends[at] == x, after[at], -1) if len(ends) else np.full(len(x), -1)).astype(np.int32)
+
+    docs = docs.withColumn("bucket", range_of("_id")).withColumn("other", guest_of("_id"))
+    own, guest = F.struct("bucket", F.lit(False).alias("guest")), F.struct(F.col("other").alias("bucket"), F.lit(True).alias("guest"))
+    rows = docs.select("doc_id", "_id", "text", F.explode(F.when(F.col("other") < 0, F.array(own)).otherwise(F.array(own, guest))).alias("p")).select("doc_id", "_id", "text", "p.bucket", "p.guest")
     return rows.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("guest").desc(), "_id", F.xxhash64("text"), "text")
 
 
