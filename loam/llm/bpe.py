@@ -5,12 +5,13 @@ list, and a priority queue of merge ranks joins neighbours, lowest rank and left
 have changed since is stale and skipped. Decoding concatenates vocabulary strings. The vocabulary, of fixed size, is
 read once on the driver and sent to the executors; pieces already seen are kept in a bounded table of each worker.
 
-Defined results: null or empty text: no tokens, decoded to the empty text. Unknown ids are an error. Repeated rows
+Defined results: null or empty text: no tokens, decoded to the empty text; a null array of ids as well. Unknown ids are an error. Repeated rows
 are encoded each; extra columns are kept by `encode` and `decode`, an empty table gives no rows."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from struct import pack
 
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from . import text as T
 from .common import small_arrow_batches
 
 #: Fixed value: the pattern of byte-level tokenizers of this kind.
@@ -35,43 +37,42 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(rest)) for b in range(256)]
 
 
-class Codec:
-    """What a tokenizer file says, in tables: symbols of bytes, merges of symbol pairs, bytes of ids."""
+def checked(text: str) -> dict:
+    """A tokenizer file's content, if it is of the kind read here."""
+    spec = json.loads(text)
+    model, pre = spec["model"], spec["pre_tokenizer"]
+    if model["type"] != "BPE" or pre["type"] != "ByteLevel" or spec["normalizer"] or pre["add_prefix_space"]:
+        raise ValueError("not a plain byte-level BPE file")
+    return spec
+
+
+class Encoder:
+    """Of a tokenizer file what encoding needs: symbols of bytes, ranks of symbol pairs, special tokens."""
 
     def __init__(self, text: str):
-        spec = json.loads(text)
-        model, pre = spec["model"], spec["pre_tokenizer"]
-        if model["type"] != "BPE" or pre["type"] != "ByteLevel" or spec["normalizer"] or pre["add_prefix_space"]:
-            raise ValueError("not a plain byte-level BPE file")
-        vocab, letters = model["vocab"], byte_letters()
-        of = {c: b for b, c in enumerate(letters)}
-        self.symbol = [vocab[c] for c in letters]
+        spec = checked(text)
+        vocab = spec["model"]["vocab"]
+        self.symbol = [vocab[c] for c in byte_letters()]
         self.rank: list[dict[int, int]] = [{} for _ in range(max(vocab.values()) + 1)]  # of a pair: by its left symbol, then by its right
         self.joined = []  # by rank
-        for rank, m in enumerate(model["merges"]):
+        for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.rank[vocab[a]][vocab[b]] = rank
             self.joined.append(vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        self.bytes = [b""] * size
-        for token, i in vocab.items():
-            self.bytes[i] = bytes(of[c] for c in token)
-        for token, i in self.special.items():
-            self.bytes[i] = token.encode()
         self.pieces = regex.compile(PATTERN).findall
         self.split = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.known = Known(self)
 
     def merged(self, piece: str) -> list[int]:
-        of, rank, joined = self.symbol, self.rank, self.joined
-        symbol = [of[b] for b in piece.encode()]
-        n = len(symbol)
+        rank, joined = self.rank, self.joined
+        symbol = [*map(self.symbol.__getitem__, piece.encode())]
         # an entry is the rank and, in its low 32 bits, the place of the left symbol
-        queue = [r << 32 | i for i in range(n - 1) if (r := rank[symbol[i]].get(symbol[i + 1])) is not None]
+        queue = [r << 32 | i for i, (a, b) in enumerate(zip(symbol, symbol[1:])) if (r := rank[a].get(b)) is not None]
         if not queue:
             return symbol
         heapify(queue)
+        n = len(symbol)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         while queue:
             entry = heappop(queue)
@@ -101,21 +102,44 @@ class Codec:
             at = m.end()
         return b"".join([*out, *map(self.known.__getitem__, self.pieces(text[at:]))])
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+
+class Decoder:
+    """Of a tokenizer file what decoding needs: the bytes of every id, one after the other, and where each begins."""
+
+    def __init__(self, text: str):
+        spec = checked(text)
+        of = {c: b for b, c in enumerate(byte_letters())}
+        strings = {i: bytes(of[c] for c in token) for token, i in spec["model"]["vocab"].items()}
+        strings |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        self.data = np.frombuffer(b"".join(strings.get(i, b"") for i in range(max(strings) + 1)), np.uint8)
+        self.size = np.array([len(strings[i]) if i in strings else -1 for i in range(max(strings) + 1)])
+        self.start = np.concatenate([[0], np.cumsum(np.maximum(self.size, 0))])
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The texts of ids[offsets[i]:offsets[i+1]]; bytes that are no UTF-8 become replacement characters."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or self.size[ids].min() < 0):
+            raise ValueError("unknown token id")
+        size = self.size[ids]
+        end = np.concatenate([[0], np.cumsum(size)])
+        data = self.data[np.arange(end[-1]) + np.repeat(self.start[ids] - end[:-1], size)]
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(end[offsets].astype(np.int64)), pa.py_buffer(data)])
+        try:
+            return texts.cast(pa.string())  # checks
+        except pa.ArrowInvalid:
+            return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
 
 
 class Known(dict):
     """Ids of pieces seen, in two generations: when the young one is full, it becomes the old one, and pieces met again
     come back from there. Memory stays bounded, and frequent pieces stay known."""
 
-    def __init__(self, codec: Codec):
-        self.codec, self.old = codec, {}
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            found = self.codec.merged(piece)
+            found = self.encoder.merged(piece)
             ids = pack(f"={len(found)}i", *found)
         if len(piece) <= LONGEST:
             if len(self) >= KEPT:
@@ -130,15 +154,14 @@ def read_file(spark: SparkSession, path: str) -> str:
     return "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
 
 
-_codecs: dict[int, Codec] = {}
+_made: dict[type, tuple[str, Encoder | Decoder]] = {}
 
 
-def codec_of(sent) -> Codec:
-    """One codec for each worker and file."""
-    if sent.id not in _codecs:
-        _codecs.clear()
-        _codecs[sent.id] = Codec(sent.value)
-    return _codecs[sent.id]
+def made(kind: type, sent: Sent):
+    """One encoder and decoder for each worker, of the file it had last."""
+    if kind not in _made or _made[kind][0] != sent.id:
+        _made[kind] = (sent.id, kind(sent.value))
+    return _made[kind][1]
 
 
 class Sent:
@@ -161,16 +184,27 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     schema = S.StructType([*docs.schema.fields, S.StructField(ids, S.ArrayType(S.IntegerType(), False))])
 
     def run(batches):
-        codec = codec_of(sent)
+        encoder = made(Encoder, sent)
         for batch in batches:
-            found = [codec.encode(t) if t else b"" for t in batch.column(text).to_pylist()]
+            found = [encoder.encode(t) if t else b"" for t in batch.column(text).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in found])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids])
+        T.give_back()
 
     return docs.mapInArrow(run, schema)
 
 
+def token_chunks(lists: pa.ListArray, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `size` ids (a longer row stands alone)."""
+    offsets = lists.offsets.to_numpy()
+    at = 0
+    while at < len(lists):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield at, min(to, len(lists))
+        at = to
+
+
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text of each array of token ids."""
     spark = rows.sparkSession
@@ -179,12 +213,15 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     schema = S.StructType([*rows.schema.fields, S.StructField(text, S.StringType())])
 
     def run(batches):
-        codec = codec_of(sent)
+        decoder = made(Decoder, sent)
         for batch in batches:
             lists = batch.column(ids)
-            start, flat = lists.offsets.to_pylist(), lists.values.to_pylist()
-            texts = pa.array([codec.decode(flat[a:b]) for a, b in zip(start, start[1:])], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, text])
+            for lo, hi in token_chunks(lists):
+                part = lists[lo:hi]
+                offsets = part.offsets.to_numpy()
+                texts = decoder.decode(part.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0])
+                yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns), texts], names=[*batch.schema.names, text])
+        T.give_back()
 
     return rows.mapInArrow(run, schema)
 
