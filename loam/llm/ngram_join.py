@@ -8,14 +8,15 @@ fall into t > d blocks by hash, and a block's key is the XOR of its shingles: by
 pair agrees on at least t-d blocks. Empty blocks say nothing, so a set with fewer than d+1 non-empty blocks is
 dealt again with more blocks, until it has enough; of a pair, one such set suffices.
 
-Groups of equal keys are read as one sorted stream. Up to SMALL members are paired with each other; in a larger
-group each is paired with the first. Pairs pass size and sketch bounds before the exact test, and only those that
+Groups of equal keys are read as one sorted stream. Up to `small` members are paired with each other; in a larger
+group each is paired with the first. Where one batch of texts holds more than that of a key, all but its first `small` + 1 are
+paired with the batch's first there and then, and are not gathered by the key. Pairs pass size and sketch bounds before the exact test, and only those that
 can still connect two components are tested. What a large group may still hide is found by counting: a set
 whose keys in large groups of several components leave it d+1 others has met all its partners elsewhere. This holds
 for sets dealt once; one dealt again may share with a partner nothing but a single key of an earlier dealing, so any
 such key makes it one of the rest. The
-rest, gathered into clusters that share keys (or by key, where a cluster has over CLUSTER sets), are compared by sketch
-in blocks of about BLOCK, each two blocks in a task of their own, and only pairs that pass are told: no link is lost, no
+rest, gathered into clusters that share keys (or by key, where a cluster has over `cluster` sets), are compared by sketch
+in blocks of about `block` sets or BYTES of sketches, each two blocks in a task of their own, and only pairs that pass are told: no link is lost, no
 group is expanded into pairs.
 
 Defined results: null or blank text: 0 shingles, its own component. A null doc_id: its own row, component null.
@@ -30,9 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import text as T
-from .common import components, only, partitions, small_arrow_batches, written
+from .common import components, drop, only, partitions, small_arrow_batches, written
 
-SMALL, BLOCK, SEEDS, CLUSTER = 6, 1024, 24, 32768
+#: Dealings after which a set must have its blocks: then each shingle has one of its own. Sketches of a block. Classes that a task knows it has sent.
+SEEDS, BYTES, SENT = 24, 4 << 20, 200_000
 _EDGES = [1, 2, 3, 4, 5]
 while _EDGES[-1] < 1 << 40:
     _EDGES.append(max(_EDGES[-1] + 1, _EDGES[-1] * 3 // 2))
@@ -107,6 +109,8 @@ class Sets:
             out.append(T.mix(x[full] ^ T.mix(salt[of] + (full - start[of]).astype(np.uint64))))
             rows.append(self.row[left[of]])
             left = left[np.bincount(of, minlength=len(left)) <= self.d[left]]
+        if len(left):
+            raise ValueError("sets this different may have no block in common: raise percent")
         return np.concatenate(out), np.concatenate(rows)
 
     def slack(self) -> np.ndarray:
@@ -145,28 +149,48 @@ def profiled(k: int, percent: int):
                 up[s.row[full:]] = np.diff(start)[full:]
                 lists = lambda size, words: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(words))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:z], pa.array(s.n), pa.array(s.whole[0].view(np.int64)), pa.array(s.whole[1].view(np.int64)), pa.array(slack), pa.array(band_of(np.maximum(s.n, 1))), lists(own, bits[: start[full]]), lists(up, bits[start[full] :])], schema=PROFILE)
+        T.give_back()
 
     return run
 
 
-KEYED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64())])
+KEYED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64())])
 
 
-def keyed(k: int, percent: int):
-    """Keys of every set; of equal sets in one chunk, one stands for all (the others are in its class)."""
+def keyed(k: int, percent: int, small: int):
+    """Keys of every set; of equal sets in one task, one stands for all (the others are in its class). Rows with a `first` are
+    settled: the batch holds more than `small` + 1 of the key, and these are paired with the first."""
 
     def run(batches):
+        sent: set[bytes] = set()
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids = batch.column("doc_id").to_numpy()
+            keys, docs = [], []
             for a, z in T.chunks(batch.column("text")):
                 s = Sets(batch.column("text")[a:z], k, percent)
-                whole = np.stack([*s.whole, s.n.astype(np.uint64)], 1)
+                whole = np.ascontiguousarray(np.stack([*s.whole, s.n.astype(np.uint64)], 1)).view("S24").ravel() if z > a else []
                 one = np.zeros(z - a, bool)
-                one[np.unique(whole, axis=0, return_index=True)[1]] = True
+                for i, x in enumerate(whole):
+                    if x not in sent:
+                        one[i] = True
+                        sent.add(x)
+                if len(sent) > SENT:
+                    sent.clear()
                 keep = one[s.row]
                 s.row, s.band, s.d = s.row[keep], s.band[keep], s.d[keep]
                 key, row = s.keys()
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids[a:z].take(pa.array(row))], schema=KEYED)
+                keys.append(key.view(np.int64))
+                docs.append(ids[a:z][row])
+            if not keys:
+                continue
+            key, doc = np.concatenate(keys), np.concatenate(docs)
+            order = np.lexsort((doc, key))
+            key, doc = distinct(key[order], doc[order])
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            begin = np.repeat(start, np.diff(np.concatenate([start, [len(key)]])))
+            more = np.arange(len(key)) - begin > small
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(doc[begin], mask=~more)], schema=KEYED)
+        T.give_back()
 
     return run
 
@@ -174,43 +198,53 @@ def keyed(k: int, percent: int):
 GROUPED = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def grouped(batches):
+def grouped(small: int):
     """From rows sorted by (key, doc_id): all pairs of a small group with a null key; of a large one, (key, first, member) for each member.
+    Settled rows pass as they are.
+
+    Of the group that is open at the end of a batch only its first `small` members are held, or its first and last."""
 
-    Of the group that is open at the end of a batch only its first SMALL members are held, or its first and last."""
-    at_key, held, large = None, np.zeros(0, np.int64), False
-    for batch in batches:
-        key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(key):
-            continue
-        if at_key is not None and key[0] == at_key and large:
-            n = int(np.searchsorted(key, at_key, "right"))
-            more = distinct(key[:n], doc[:n])[1]
-            more = more[int(more[0] == held[1]) :]
-            yield from rows_of(np.full(len(more), at_key), np.full(len(more), held[0]), more)
-            held = np.array([held[0], doc[n - 1]])
-            key, doc = key[n:], doc[n:]
+    def run(batches):
+        at_key, held, large = None, np.zeros(0, np.int64), False
+        for batch in batches:
+            key, doc, first = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy(), batch.column("first")
+            if first.null_count < len(first):
+                is_open = first.is_null().to_numpy(zero_copy_only=False)
+                yield from rows_of(key[~is_open], first.drop_null().to_numpy(), doc[~is_open])
+                key, doc = key[is_open], doc[is_open]
             if not len(key):
                 continue
-        elif at_key is not None and key[0] == at_key:
-            key, doc = np.concatenate([np.full(len(held), at_key), key]), np.concatenate([held, doc])
-        elif not large:
+            if at_key is not None and key[0] == at_key and large:
+                n = int(np.searchsorted(key, at_key, "right"))
+                more = distinct(key[:n], doc[:n])[1]
+                more = more[int(more[0] == held[1]) :]
+                yield from rows_of(np.full(len(more), at_key), np.full(len(more), held[0]), more)
+                held = np.array([held[0], doc[n - 1]])
+                key, doc = key[n:], doc[n:]
+                if not len(key):
+                    continue
+            elif at_key is not None and key[0] == at_key:
+                key, doc = np.concatenate([np.full(len(held), at_key), key]), np.concatenate([held, doc])
+            elif not large:
+                yield from pairs_of(held)
+            key, doc = distinct(key, doc)
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.concatenate([start, [len(key)]]))
+            of = np.repeat(np.arange(len(size)), size)
+            big, closed = size > small, np.arange(len(size)) < len(size) - 1
+            i = np.flatnonzero(big[of])
+            yield from rows_of(key[i], doc[start[of[i]]], doc[i])
+            for j in range(1, small):
+                i = np.flatnonzero((~big & closed)[of] & (np.arange(len(key)) - start[of] >= j))
+                yield from rows_of(None, doc[i - j], doc[i])
+            at_key, large, held = key[-1], bool(big[-1]), doc[start[-1] :]
+            if large:
+                held = held[[0, -1]]
+        if not large:
             yield from pairs_of(held)
-        key, doc = distinct(key, doc)
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.concatenate([start, [len(key)]]))
-        of = np.repeat(np.arange(len(size)), size)
-        big, closed = size > SMALL, np.arange(len(size)) < len(size) - 1
-        i = np.flatnonzero(big[of])
-        yield from rows_of(key[i], doc[start[of[i]]], doc[i])
-        for j in range(1, SMALL):
-            i = np.flatnonzero((~big & closed)[of] & (np.arange(len(key)) - start[of] >= j))
-            yield from rows_of(None, doc[i - j], doc[i])
-        at_key, large, held = key[-1], bool(big[-1]), doc[start[-1] :]
-        if large:
-            held = held[[0, -1]]
-    if not large:
-        yield from pairs_of(held)
+        T.give_back()
+
+    return run
 
 
 def distinct(key, doc):
@@ -248,6 +282,7 @@ def tested(k: int, percent: int):
                     ok[i] = common > 0 and 100 * common >= percent * (len(both) - common)
                 keep = pa.array(np.flatnonzero(ok))
                 yield pa.RecordBatch.from_arrays([batch.column("a")[a:z].take(keep), batch.column("b")[a:z].take(keep)], schema=TESTED)
+        T.give_back()
 
     return run
 
@@ -311,13 +346,15 @@ def in_blocks(percent: int):
                             if len(u):
                                 a, b = x["doc_id"][part][u], y["doc_id"][q][v]
                                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=TESTED)
+        T.give_back()
 
     return run
 
 
-def blocks_of(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within each key, from pairs of blocks of about BLOCK rows."""
-    size = rows.groupBy("key").agg(F.ceil(F.count("*") / (BLOCK * 3 // 4)).cast("int").alias("parts"))
+def blocks_of(rows: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs of different components within each key, from pairs of blocks of about `block` rows or BYTES."""
+    room = F.greatest(F.count("*") / max(1, block * 3 // 4), F.sum(F.size("own") + F.size("up")) * 8 / BYTES)
+    size = rows.groupBy("key").agg(F.ceil(room).cast("int").alias("parts"))
     cut = rows.join(size, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
     held = cut.groupBy("key", "parts", "part").agg(F.collect_list(F.struct("doc_id", "root", "n", "band", "own", "up")).alias("rows"))
     left = held.select("key", F.col("rows").alias("left"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("other"))
@@ -326,19 +363,20 @@ def blocks_of(rows: DataFrame, percent: int) -> DataFrame:
     return both.select("left", "right").mapInArrow(in_blocks(percent), "a bigint, b bigint").distinct()
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, small: int = 6, block: int = 1024, cluster: int = 32768) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) of documents linked at 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = written(docs.mapInArrow(profiled(k, percent), "doc_id bigint, n bigint, c1 bigint, c2 bigint, slack bigint, band bigint, own array<bigint>, up array<bigint>"), "profile")
     usable = docs.where("doc_id is not null")
-    keys = usable.mapInArrow(keyed(k, percent), "key bigint, doc_id bigint")
-    cand = written(keys.repartition(partitions(spark), "key").sortWithinPartitions("key", "doc_id").mapInArrow(grouped, "key bigint, a bigint, b bigint"), "groups")
+    keys = usable.mapInArrow(keyed(k, percent, small), "key bigint, doc_id bigint, first bigint")
+    place = F.when(F.col("first").isNull(), F.col("key")).otherwise(F.xxhash64("doc_id"))
+    cand = written(keys.repartition(partitions(spark), place).sortWithinPartitions("key", "doc_id").mapInArrow(grouped(small), "key bigint, a bigint, b bigint"), "groups")
 
     sets = profile.where("doc_id is not null and n > 0")
     low = sets.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("low"))
-    # one member of each class has sent the keys of a chunk; any may have, so every member keeps its own edge
+    # one member of each class has sent the keys of a task; any may have, so every member keeps its own edge
     classes = sets.join(low, ["n", "c1", "c2"]).select(F.col("doc_id").alias("a"), F.col("low").alias("b")).where("a <> b")
     pairs = written(near(cand.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent), "pairs")
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -349,13 +387,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     edges = written(classes.union(linked(first, texts, k, percent)), "edges")
     edges = written(edges.union(linked(across(pairs, components(edges)), texts, k, percent)), "edges")
     roots = written(components(edges), "roots")
+    drop(texts)
+    drop(pairs)
 
-    rest = hidden(cand, sets, roots)
+    rest = hidden(cand, sets, roots, cluster)
+    drop(cand)
     if rest is not None:
-        pairs = written(blocks_of(rest, percent), "pairs")
+        pairs = written(blocks_of(rest, percent, block), "pairs")
+        drop(rest)
         nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        texts = only(usable, nodes)
-        more = written(linked(pairs, texts, k, percent), "edges")
+        more = written(linked(pairs, only(usable, nodes), k, percent), "edges")
         if not more.isEmpty():
             roots = written(components(edges.union(more)), "roots")
     out = profile.select("doc_id", F.col("n").alias("n_shingles"))
@@ -369,7 +410,7 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return j.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def hidden(cand: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame | None:
+def hidden(cand: DataFrame, sets: DataFrame, roots: DataFrame, most: int) -> DataFrame | None:
     """Rows (key, doc_id, root, ...) under which pairs may still be linked unseen.
 
     Of its keys in large groups of several components a set dealt once needs as many as its others fall short of d+1, and
@@ -390,7 +431,7 @@ def hidden(cand: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame | No
     cluster = components(rows.join(low, "key").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))).select(F.col("id").alias("doc_id"), F.col("root").alias("cluster"))
     rows = rows.join(cluster, "doc_id")
     one = rows.select("cluster", "doc_id", "root").distinct()
-    many = one.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > CLUSTER).select("cluster")
+    many = one.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > most).select("cluster")
     by_cluster = one.join(many, "cluster", "left_anti").select(F.struct(F.lit(True).alias("whole"), F.col("cluster").alias("id")).alias("key"), "doc_id", "root")
     by_key = rows.join(many, "cluster").select(F.struct(F.lit(False).alias("whole"), F.col("key").alias("id")).alias("key"), "doc_id", "root")
     return written(by_cluster.union(by_key).join(sets.select("doc_id", "n", "band", "own", "up"), "doc_id"), "hidden")

@@ -65,3 +65,21 @@ def test_hubs_of_repeated_doc_ids(spark):
     rows = hubs(6, 72, twice=True)
     got = {r.doc_id: r.component_id for r in jaccard_components(table(spark, rows)).collect()}
     assert got == brute_components(rows)
+
+
+def test_every_path_at_small_sizes(spark):
+    """Large groups, clusters over the limit, many blocks and settled rows, as very large tables have them."""
+    from loam.llm.ngram_join import jaccard_components
+
+    rows = hubs(7, 36)
+    for limits in ({"small": 2, "cluster": 3, "block": 3}, {"small": 3, "cluster": 10**6, "block": 2}):
+        got = {r.doc_id: r.component_id for r in jaccard_components(table(spark, rows), **limits).collect()}
+        assert got == brute_components(rows), limits
+
+
+def test_sets_without_enough_blocks_are_an_error(spark):
+    import pytest
+    from loam.llm.ngram_join import jaccard_components
+
+    with pytest.raises(Exception, match="raise percent"):
+        jaccard_components(table(spark, [(1, "a b c d e f"), (2, "a b c d e g")]), percent=10).collect()

@@ -98,8 +98,8 @@ def test_grouped_stream_in_pieces():
     key, doc = (np.array(c, np.int64) for c in zip(*data))
 
     def told(size):
-        batches = (pa.RecordBatch.from_arrays([pa.array(key[i : i + size]), pa.array(doc[i : i + size])], names=["key", "doc_id"]) for i in range(0, len(key), size))
-        return sorted(((x["key"], x["a"], x["b"]) for b in N.grouped(batches) for x in b.to_pylist()), key=repr)
+        batches = (pa.RecordBatch.from_arrays([pa.array(key[i : i + size]), pa.array(doc[i : i + size]), pa.nulls(len(key[i : i + size]), pa.int64())], names=["key", "doc_id", "first"]) for i in range(0, len(key), size))
+        return sorted(((x["key"], x["a"], x["b"]) for b in N.grouped(6)(batches) for x in b.to_pylist()), key=repr)
 
     whole = told(10**6)
     assert whole and all(told(size) == whole for size in (1, 3, 7, 50))
