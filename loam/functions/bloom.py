@@ -5,11 +5,32 @@ of seed + i for the i-th probe, modulo the number of bits. A filter is a relatio
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of the hash.
-SEED, OFFSET, PRIME, MASK = 2538058380, 2166136261, 16777619, 4294967295
+# Fixed values of the hash, and of the encoded form: bytes of its header, which holds m, k, n and the seed in little-endian order.
+SEED, OFFSET, PRIME, MASK = 0x9747B28C, 2166136261, 16777619, 4294967295
+HEADER = 16
+
+
+def sizes(n: int, per_key: int) -> tuple[int, int]:
+    """(m, k) of a filter for n keys, as `bits` and `probes` give them."""
+    n, per_key = max(n, 1), per_key if per_key > 0 else 10
+    m = max(n * per_key, 8)
+    return m, min(max(math.ceil(m / n * math.log(2.0)), 1), 30)
+
+
+def places(key: str, k: int, m: int) -> list[int]:
+    """The bit places of one key, as `locations` gives them."""
+    out = []
+    for i in range(k):
+        h = OFFSET
+        for byte in key.encode() + ((SEED + i) & MASK).to_bytes(4, "little"):
+            h = (h ^ byte) * PRIME & MASK
+        out.append(h % m)
+    return out
 
 
 def bits(n: Column, per_key: Column) -> Column:
@@ -83,6 +104,55 @@ def decoded(data: DataFrame) -> DataFrame:
     return rows.where("set").select((F.col("byte") * 8 + F.col("i")).alias("pos"))
 
 
+def reset(places: DataFrame) -> DataFrame:
+    """The filter without any place set; its sizes stay."""
+    return places.where("false")
+
+
+def byte_at(data: Column, i: Column) -> Column:
+    """The i-th byte of a binary, from 1."""
+    return F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("bigint")
+
+
+def number_at(data: Column, at: int) -> Column:
+    """The unsigned 32-bit number at a place of the header."""
+    out = F.lit(0).cast("bigint")
+    for j in range(4):
+        out = out + F.call_function("shiftleft", byte_at(data, F.lit(at + j + 1)), F.lit(8 * j))
+    return out
+
+
+def encoded_bytes(places: DataFrame, k: int, m: int, n: int) -> DataFrame:
+    """One row (data): the filter as bytes, header and ceil(m / 8) bytes of bits. A filter is one value, so its size is bounded by
+    what a binary can hold."""
+    header = "".join(x.to_bytes(4, "little").hex() for x in (m, k, n, SEED))
+    held = encoded(places).agg(F.map_from_entries(F.collect_list(F.struct("byte", "bits"))).alias("bytes"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit((m + 7) // 8 - 1).cast("bigint"))
+    body = F.array_join(F.transform(every, lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at("bytes", i), F.lit(0))), 2, "0")), "")
+    return held.select(F.unhex(F.concat(F.lit(header), body)).alias("data"))
+
+
+def decoded_bytes(rows: DataFrame) -> DataFrame:
+    """Adds to rows with a binary `data`: valid, and where it is, m, k, n, seed and the set places in order."""
+    data = F.col("data")
+    m = F.when(F.octet_length(data) >= HEADER, number_at(data, 0))
+    rows = rows.withColumn("m", m).withColumn("valid", F.coalesce(is_valid(data, F.col("m")), F.lit(False)))
+    for at, name in ((4, "k"), (8, "n"), (12, "seed")):
+        rows = rows.withColumn(name, F.when(F.col("valid"), number_at(data, at)))
+    rows = rows.withColumn("m", F.when(F.col("valid"), F.col("m")))
+    every = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("m") - 1, F.lit(0)))
+    is_set = lambda p: (F.col("m") > 0) & (F.getbit(byte_at(data, (F.floor(p / 8) + HEADER + 1).cast("int")), (p % 8).cast("int")) == 1)
+    return rows.withColumn("places", F.when(F.col("valid"), F.filter(every, is_set)))
+
+
+def must_decode(rows: DataFrame) -> DataFrame:
+    """The same, but data that is not valid gives the empty filter for `estimated_n` keys at 10 bits each."""
+    rows, n = decoded_bytes(rows), F.col("estimated_n")
+    for name, value in (("m", bits(n, F.lit(10))), ("k", probes(n, F.lit(10))), ("n", F.greatest(n, F.lit(1))), ("seed", F.lit(SEED)), ("places", F.array().cast("array<bigint>"))):
+        rows = rows.withColumn(name, F.when(F.col("valid"), F.col(name)).otherwise(value.cast("array<bigint>" if name == "places" else "bigint")))
+    return rows
+
+
 def is_valid(data: Column, m: Column) -> Column:
     """Whether encoded bytes hold the 16-byte header and all bits of an m-bit filter."""
-    return (F.octet_length(data) >= 16) & (F.octet_length(data) - 16 >= F.ceil(m / 8))
+    return (F.octet_length(data) >= HEADER) & (F.octet_length(data) - HEADER >= F.ceil(m / 8))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,15 +40,29 @@ def between(rows: DataFrame, low: str = "", high: str = "") -> DataFrame:
     return rows
 
 
-def ordinals(rows: DataFrame, parts: int = 64) -> DataFrame:
+def place_among(key: Column, bounds: list[str]) -> Column:
+    """How many of the sorted bounds are below the key: first among every step-th one, then within that step."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    below = lambda some: F.size(F.filter(some, lambda b: b < key))
+    coarse = F.lit(0)
+    if bounds[step - 1 :: step]:
+        coarse = below(F.array(*map(F.lit, bounds[step - 1 :: step])))
+    return (coarse * step + below(F.slice(F.array(*map(F.lit, bounds)), coarse * step + 1, F.lit(step)))).cast("int")
+
+
+def ordinals(rows: DataFrame, parts: int | None = None, sample: int = 100) -> DataFrame:
     """Adds `rank` from 1 in key order without one task that sorts everything.
 
-    Keys are dealt by range; a row's rank is its place in its range after the sizes of the ranges before."""
-    spark = rows.sparkSession
-    dealt = rows.repartitionByRange(min(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key").withColumn("_part", F.spark_partition_id())
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    Keys are dealt to `parts` ranges (as many as shuffle partitions) by bounds that are settled before: quantiles of the
+    `sample` * parts keys with the smallest hashes. A row's rank is its place in its range after the sizes of the ranges before."""
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = sorted({r.key for r in rows.select("key").orderBy(F.xxhash64("key")).limit(sample * parts).collect()})
+    bounds = sorted({some[len(some) * i // parts] for i in range(1, parts)}) if some else []
+    dealt = rows.withColumn("_part", place_among(F.col("key"), bounds))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    offsets = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    offsets = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy("key"))
     return dealt.withColumn("_at", place).join(F.broadcast(offsets), F.col("_part") == F.col("_p")).withColumn("rank", (F.col("_from") + F.col("_at")).cast("bigint")).drop("_part", "_p", "_from", "_at")
 

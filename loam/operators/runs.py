@@ -13,14 +13,25 @@ from ..sources.changelog import record_bytes
 BLOCK = 1 << 16
 
 
+def running_offsets(sums: DataFrame, levels: int = 2) -> DataFrame:
+    """(_b, _from): the sum of `_sum` over all rows of smaller `_block`. Blocks are summed in blocks of their own, so the last window
+    holds one row for BLOCK ** (levels + 1) records, and every other one BLOCK rows at most."""
+    if levels == 0:
+        before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        return sums.select(F.col("_block").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_from"))
+    sums = sums.withColumn("_over", F.floor(F.col("_block") / BLOCK))
+    above = running_offsets(sums.groupBy(F.col("_over").alias("_block")).agg(F.sum("_sum").alias("_sum")), levels - 1)
+    before = Window.partitionBy("_over").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sums.withColumn("_in", F.coalesce(F.sum("_sum").over(before), F.lit(0))).join(above, F.col("_over") == F.col("_b"))
+    return rows.select(F.col("_block").alias("_b"), (F.col("_from") + F.col("_in")).alias("_from"))
+
+
 def with_epochs(log: DataFrame, memtable_size: int) -> DataFrame:
     """Adds `bytes` and `epoch`, the buffer in which a record falls: floor of the bytes before it over the buffer's size.
 
-    The running sum takes two steps, blocks of seq and then rows of a block, so the log is never sorted in one task."""
+    The running sum takes steps, blocks of blocks of seq and then rows of a block, so the log is never sorted in one task."""
     log = log.withColumn("bytes", record_bytes()).withColumn("_block", F.floor(F.col("seq") / BLOCK))
-    sums = log.groupBy("_block").agg(F.sum("bytes").alias("_sum"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row for 65,536 records
-    offsets = sums.select(F.col("_block").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_from"))
+    offsets = running_offsets(log.groupBy("_block").agg(F.sum("bytes").alias("_sum")), 1)
     inside = F.coalesce(F.sum("bytes").over(Window.partitionBy("_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = log.withColumn("_in", inside).join(offsets, F.col("_block") == F.col("_b"))
     return rows.withColumn("epoch", F.floor((F.col("_from") + F.col("_in")) / memtable_size).cast("bigint")).drop("_block", "_b", "_from", "_in")
@@ -67,3 +78,18 @@ def manifest(runs: DataFrame) -> DataFrame:
 def may_hold(catalog: DataFrame, key: str) -> DataFrame:
     """Runs whose key range holds the key; the others need not be read."""
     return catalog.where((F.col("min_key") <= key) & (F.col("max_key") >= key))
+
+
+def write_runs(runs: DataFrame, path: str) -> None:
+    """Each run as a folder of its own with one sorted file: partitions of (level, run_id)."""
+    runs.repartition("level", "run_id").sortWithinPartitions("level", "run_id", "key").write.partitionBy("level", "run_id").parquet(path)
+
+
+def order_faults(rows: DataFrame) -> DataFrame:
+    """(n_rows, n_out_of_order, n_repeated) of runs read back from files with columns run_id and key, each file in its own order:
+    neighbours whose keys fall or repeat, and keys that two files of a run have."""
+    rows = rows.select("run_id", "key", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    rows = rows.withColumn("before", F.lag("key").over(Window.partitionBy("file").orderBy("at")))
+    keys = rows.groupBy("run_id", "key").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("before") > F.col("key"), F.lit(False)).cast("bigint")).alias("falls"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return keys.agg(total("n").alias("n_rows"), total("falls").alias("n_out_of_order"), total(F.col("n") - 1).alias("n_repeated"))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import bloom
 from ..operators import compaction, fold, runs
+from ..paths import new_path
 from .filters import HASHED, located
 from .keyed import EVENTS, VERSIONS, log
 
@@ -117,7 +117,7 @@ def compaction_savings(spark, sf_dir):
 
 @query(f"{WITH} SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_out_of_order, CAST(0 AS BIGINT) AS n_repeated FROM runs")
 def layout_invariants(spark, sf_dir):
-    """Within a run keys are distinct and rise; both counts of violations must be 0."""
-    w = Window.partitionBy("run_id").orderBy("key")
-    rows = all_runs(spark, sf_dir).withColumn("before", F.lag("key").over(w))
-    return rows.agg(F.count("*").alias("n_rows"), F.sum((F.coalesce(F.col("before") > F.col("key"), F.lit(False))).cast("bigint")).alias("n_out_of_order"), F.sum((F.coalesce(F.col("before") == F.col("key"), F.lit(False))).cast("bigint")).alias("n_repeated"))
+    """Runs as they stand in their files: keys rise, and each stands once in a run; both counts of faults must be 0."""
+    path = new_path(spark, "runs")
+    runs.write_runs(all_runs(spark, sf_dir), path)
+    return runs.order_faults(spark.read.parquet(path))

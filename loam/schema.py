@@ -18,15 +18,17 @@ STATE = T.StructType([T.StructField("key", T.StringType(), False), T.StructField
 
 @dataclass(frozen=True)
 class StoreConfig:
-    """Settings of a store; bytes count keys and values."""
+    """Settings of a store; bytes count keys and values. `max_immutable`: full buffers that may wait in the log before the oldest
+    is flushed; `retention_s`: how long readers of an older version find what it names."""
 
     memtable_size: int = 4 << 20
     compaction_factor: int = 4
     bits_per_key: int = 10
     max_immutable: int = 2
+    retention_s: float = 3600.0
 
     def __post_init__(self) -> None:
-        if self.memtable_size <= 0 or self.compaction_factor < 2 or self.max_immutable < 0:
+        if self.memtable_size <= 0 or self.compaction_factor < 2 or self.max_immutable < 0 or self.retention_s < 0:
             raise ValueError(f"settings out of range: {self}")
 
 

@@ -62,6 +62,6 @@ def append(log: DataFrame, path: str) -> None:
     log.select("seq", "op", "key", "value").write.mode("append").parquet(path)
 
 
-def replay(spark: SparkSession, path: str, after: int = -1) -> DataFrame:
-    """The log's known operations with a larger seq; order them by seq where order matters."""
-    return spark.read.schema(LOG).parquet(path).where((F.col("seq") > after) & F.col("op").isin(PUT, DELETE))
+def replay(spark: SparkSession, path: str | list[str], after: int = -1) -> DataFrame:
+    """The known operations of a log, or of several folders of one, with a larger seq; order them by seq where order matters."""
+    return spark.read.schema(LOG).parquet(*([path] if isinstance(path, str) else path)).where((F.col("seq") > after) & F.col("op").isin(PUT, DELETE))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.fold import latest, live, merge
 from ..schema import LOG, RUN
 from ..sources.changelog import normalised
+from ..store import KeyedStore
 
 
 def ingest(spark: SparkSession, log_path: str, runs_path: str, checkpoint: str, per_trigger: int = 1) -> None:
@@ -24,3 +25,14 @@ def ingest(spark: SparkSession, log_path: str, runs_path: str, checkpoint: str,
 
 def state(spark: SparkSession, runs_path: str) -> DataFrame:
     return live(merge(spark.read.schema(RUN).option("recursiveFileLookup", "true").parquet(runs_path)))
+
+
+def ingest_into(store: KeyedStore, log_path: str, checkpoint: str, name: str = "log", per_trigger: int = 1) -> None:
+    """The same into a store: each micro-batch is a level-0 run in the manifest, with compaction and vacuum behind it. A batch
+    that is replayed after a failure is known by its number and left out."""
+
+    def flush(batch: DataFrame, batch_id: int) -> None:
+        store.add_batch(batch, name, batch_id)
+
+    stream = store.spark.readStream.schema(LOG).option("maxFilesPerTrigger", per_trigger).parquet(log_path)
+    normalised(stream).writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
