@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from .. import manifest
+from ..paths import new_path
 from . import text as T
-from .common import Marker, drop, drop_path, new_path, only, partitions, small_arrow_batches, written
+from .common import Marker, drop, drop_path, only, partitions, small_arrow_batches, written
 
 SEGMENT = "a bigint, g bigint, doc_id bigint, tag int, at int, n int"
 SEGMENT_COLUMNS = ("a", "g", "doc_id", "tag", "at", "n")
