@@ -1,7 +1,10 @@
 """Corpus pipeline: from `documents` to packed, clean and deduplicated training texts.
 
-Stages hand tables with the columns of `documents` on; each decides over all rows its predecessor kept. The last
-one returns the batches. Rows with a null doc_id pass filters like others and are linked with nothing."""
+Stages hand tables with the columns of `documents` on, and any further columns, whatever their names; each decides over all rows
+its predecessor kept. The last one returns the batches. Defined results: null, empty and blank texts are judged as such and fail the
+rules; rows with a null doc_id pass filters like others, are linked with nothing and stay apart; of repeated rows (equal doc_id
+and text) one stays; different texts of one doc_id are one node of the near-duplicate groups, and stay or go together; an empty
+table gives no rows at every stage, and a table without labels leaves all to the rules."""
 
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import table, without, written
+from loam.llm.common import only, table, without, written
 from loam.llm.ngram_join import jaccard_components
 from loam.llm.packing import pack_documents
 from loam.llm.quality_classifier import classify
@@ -33,9 +36,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id; rows that share it are one document and stay."""
+    """Of each group of linked documents the one with the smallest doc_id, and of its repeated rows one."""
     groups = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
-    return without(docs, written(groups, "dropped"))
+    kept = without(docs, written(groups, "dropped"))
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id")
+    again = written(again, "repeated")
+    if again.isEmpty():
+        return kept
+    return without(kept, again).unionByName(only(kept, again).dropDuplicates(["doc_id", "text"]))
 
 
 def substring_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,15 +81,15 @@ def may_hold(catalog: DataFrame, key: str) -> DataFrame:
 
 
 def write_runs(runs: DataFrame, path: str) -> None:
-    """Each run as a folder of its own with one sorted file: partitions of (level, run_id)."""
-    runs.repartition("level", "run_id").sortWithinPartitions("level", "run_id", "key").write.partitionBy("level", "run_id").parquet(path)
+    """Runs with each one's rows together in one file, in key order."""
+    runs.repartition("run_id").sortWithinPartitions("run_id", "key").write.parquet(path)
 
 
 def order_faults(rows: DataFrame) -> DataFrame:
     """(n_rows, n_out_of_order, n_repeated) of runs read back from files with columns run_id and key, each file in its own order:
     neighbours whose keys fall or repeat, and keys that two files of a run have."""
     rows = rows.select("run_id", "key", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-    rows = rows.withColumn("before", F.lag("key").over(Window.partitionBy("file").orderBy("at")))
+    rows = rows.withColumn("before", F.lag("key").over(Window.partitionBy("file", "run_id").orderBy("at")))
     keys = rows.groupBy("run_id", "key").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("before") > F.col("key"), F.lit(False)).cast("bigint")).alias("falls"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     return keys.agg(total("n").alias("n_rows"), total("falls").alias("n_out_of_order"), total(F.col("n") - 1).alias("n_repeated"))
