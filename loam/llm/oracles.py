@@ -31,6 +31,14 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM f
 """
 
+ABLATION = f"""
+WITH ledger AS ({QUALITY_RULES}),
+rules AS (SELECT * FROM (VALUES (0, 'few_words'), (1, 'repeated_words'), (2, 'symbol_density'), (3, 'duplicate_lines'), (4, 'long_words'), (5, 'short_words'), (6, 'capitals'), (7, 'exclamations')) t(i, rule))
+SELECT rule, CAST(count(*) FILTER (failed & (1 << i) <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (failed = 1 << i) AS BIGINT) AS n_failed_alone,
+  CAST(count(*) FILTER (failed & (255 - (1 << i)) = 0) AS BIGINT) AS n_kept_without
+FROM ledger, rules GROUP BY rule
+"""
+
 SUBSTRING_DEDUP = rf"""
 WITH {_WORDS},
 s AS (SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
@@ -74,4 +82,5 @@ ORACLES = {
     "op8_rendezvous_sharding": SHARDING,
     "op9_substring_dedup": SUBSTRING_DEDUP,
     "op10_ngram_jaccard_join": NGRAM_JACCARD,
+    "quality_rules_ablation": ABLATION,
 }

@@ -2,13 +2,15 @@
 
 Every rule is measured once for each text. The ledger row holds the measurements and one bit for each rule that
 fails; a policy is a named, versioned mask (and base rules are bits as well), so another policy, or leaving out one
-rule, needs no second look at the texts: `apply_policy` tests bits, `ablation` counts by bitwise aggregation.
+rule, needs no second look at the texts: `apply_policy` tests bits, `ablation` counts by bitwise aggregation, both on a ledger that
+`store_ledger` has written once.
 
 Words are runs of `[^\\x20\\x09-\\x0D]`. Repeats inside a text are found by sorting hashes of its 3-word windows; the
 arrays of one row are bounded by its text, and no rows are shuffled.
 
-Defined results: null or blank text: no words, all measurements 0, base_failed. Null doc_id: kept as it is. Extra
-columns are ignored; an empty table gives no rows."""
+Defined results: null or blank text: no words, all measurements 0, base_failed. Null doc_id: kept as it is. Repeated rows
+have equal measurements, each its own row. Values at a limit (ties) pass. Extra columns are ignored by the ledger, whatever their names,
+and handed on by `keep`; an empty table gives no rows, and an ablation of zeros."""
 
 from __future__ import annotations
 
@@ -113,17 +115,27 @@ def apply_policy(rows: DataFrame, policy: str = "strict@2") -> DataFrame:
     return rows.withColumn("base_failed", F.col("failed").bitwiseAND(F.lit(BASE)) != 0).withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask)) == 0)
 
 
+def store_ledger(docs: DataFrame, path: str) -> DataFrame:
+    """Writes the ledger of all texts as Parquet, and gives it as it stands there."""
+    rows = ledger(docs)
+    rows.write.parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def ablation(rows: DataFrame, policy: str = "strict@2") -> DataFrame:
-    """For each rule of a policy: texts that fail it, that fail it alone, and that the policy without it would keep."""
+    """For each rule of a policy: texts that fail it, that fail it alone, and that the policy without it would keep.
+
+    Texts are counted by their failed bits under the policy, one row for each set of bits that occurs (at most 2 to the
+    number of rules); the rules' counts are sums over these."""
     mask = POLICIES[policy]
-    hit = F.col("failed").bitwiseAND(F.lit(mask))
+    sets = rows.groupBy(F.col("failed").bitwiseAND(F.lit(mask)).alias("hit")).agg(F.count("*").alias("n"))
+    total = lambda where: F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0))
     sums = []
     for i, (name, *_) in enumerate(RULES):
         if mask >> i & 1:
-            bit = F.lit(1 << i)
-            fails, alone = F.sum((hit.bitwiseAND(bit) != 0).cast("bigint")), F.sum((hit == bit).cast("bigint"))
-            sums.append(F.struct(F.lit(name).alias("rule"), F.coalesce(fails, F.lit(0)).alias("n_failed"), F.coalesce(alone, F.lit(0)).alias("n_failed_alone"), F.sum((hit.bitwiseAND(F.lit(~(1 << i))) == 0).cast("bigint")).alias("n_kept_without")))
-    return rows.agg(F.array(*sums).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+            bit, hit = 1 << i, F.col("hit")
+            sums.append(F.struct(F.lit(name).alias("rule"), total(hit.bitwiseAND(F.lit(bit)) != 0).alias("n_failed"), total(hit == bit).alias("n_failed_alone"), total(hit.bitwiseAND(F.lit(~bit)) == 0).alias("n_kept_without")))
+    return sets.agg(F.array(*sums).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 def keep(docs: DataFrame, policy: str = "strict@2") -> DataFrame:

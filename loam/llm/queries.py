@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..paths import new_path
 from .bpe import decode, encode, joined_ids
 from .common import table
 from .html_text import extract_pages
@@ -15,7 +16,7 @@ from .ngram_join import jaccard_components
 from .oracles import ORACLES as ORACLES
 from .packing import pack_documents
 from .quality_classifier import classify
-from .quality_rules import apply_policy, ledger
+from .quality_rules import ablation, apply_policy, ledger, store_ledger
 from .sharding import shard
 from .spotsigs import fingerprints
 from .substring_dedup import substring_dedup
@@ -70,6 +71,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def quality_rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the newest policy decides, from the stored ledger of all documents."""
+    return ablation(store_ledger(table(spark, sf_dir, "documents"), new_path(spark, "ledger")), "strict@2")
+
+
 def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=8)
 
@@ -85,4 +91,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rendezvous_sharding": op8_rendezvous_sharding,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "quality_rules_ablation": quality_rules_ablation,
 }
