@@ -27,7 +27,8 @@ from .common import small_arrow_batches
 
 #: Fixed value: the pattern of byte-level tokenizers of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT, LONGEST = 250_000, 48
+#: Pieces that a worker keeps, the longest of them, and the length from which a text's pieces are not listed all at once.
+KEPT, LONGEST, LONG_TEXT = 250_000, 48, 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -49,8 +50,9 @@ def checked(text: str) -> dict:
 class Encoder:
     """Of a tokenizer file what encoding needs: symbols of bytes, ranks of symbol pairs, special tokens."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, kept: int = KEPT, long_text: int = LONG_TEXT):
         spec = checked(text)
+        self.long_text = long_text
         vocab = spec["model"]["vocab"]
         self.symbol = [vocab[c] for c in byte_letters()]
         self.rank: list[dict[int, int]] = [{} for _ in range(max(vocab.values()) + 1)]  # of a pair: by its left symbol, then by its right
@@ -60,9 +62,9 @@ class Encoder:
             self.rank[vocab[a]][vocab[b]] = rank
             self.joined.append(vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.pieces = regex.compile(PATTERN).findall
+        self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.known = Known(self)
+        self.known = Known(self, kept)
 
     def merged(self, piece: str) -> list[int]:
         rank, joined = self.rank, self.joined
@@ -92,15 +94,20 @@ class Encoder:
                 heappush(queue, r << 32 | h)
         return [s for s in symbol if s >= 0]
 
+    def ids(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
+        pieces = self.pattern.findall(text) if len(text) < self.long_text else (m[0] for m in self.pattern.finditer(text))
+        return b"".join(map(self.known.__getitem__, pieces))
+
     def encode(self, text: str) -> bytes:
         """Ids as consecutive 32-bit integers."""
         if self.split is None or not self.split.search(text):
-            return b"".join(map(self.known.__getitem__, self.pieces(text)))
+            return self.ids(text)
         out, at = [], 0
         for m in self.split.finditer(text):
-            out += [*map(self.known.__getitem__, self.pieces(text[at : m.start()])), np.int32(self.special[m[0]]).tobytes()]
+            out += [self.ids(text[at : m.start()]), np.int32(self.special[m[0]]).tobytes()]
             at = m.end()
-        return b"".join([*out, *map(self.known.__getitem__, self.pieces(text[at:]))])
+        return b"".join([*out, self.ids(text[at:])])
 
 
 class Decoder:
@@ -133,8 +140,8 @@ class Known(dict):
     """Ids of pieces seen, in two generations: when the young one is full, it becomes the old one, and pieces met again
     come back from there. Memory stays bounded, and frequent pieces stay known."""
 
-    def __init__(self, encoder: Encoder):
-        self.encoder, self.old = encoder, {}
+    def __init__(self, encoder: Encoder, kept: int):
+        self.encoder, self.kept, self.old = encoder, kept, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -142,7 +149,7 @@ class Known(dict):
             found = self.encoder.merged(piece)
             ids = pack(f"={len(found)}i", *found)
         if len(piece) <= LONGEST:
-            if len(self) >= KEPT:
+            if len(self) >= self.kept:
                 self.old = dict(self)
                 self.clear()
             self[piece] = ids

@@ -44,8 +44,9 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def measured(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id and the measurements of each whole text; with `carry` also `_row`, a struct of all the row's columns."""
+def measured(docs: DataFrame, carry: bool = False, place: int = PLACE) -> DataFrame:
+    """doc_id and the measurements of each whole text; with `carry` also `_row`, a struct of all the row's columns. Texts of fewer
+    than 2 ** `place` windows are sorted as plain numbers, longer ones as pairs: the results are the same."""
     held = [F.struct(*[F.col(c) for c in docs.columns]).alias("_row")] if carry else []
     df = docs.select(*held, "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
     df = df.withColumn("_w", F.array_remove(F.split("_t", SPACE), ""))
@@ -55,20 +56,20 @@ def measured(docs: DataFrame, carry: bool = False) -> DataFrame:
     grams = F.transform("_h", lambda h, i: F.xxhash64(h, F.get("_h", i + 1), F.get("_h", i + 2)))
     df = df.withColumn("_g", F.slice(grams, 1, F.greatest(n - 2, F.lit(0))))
     df = df.withColumn("_distinct", F.size(F.array_distinct("_g")) == F.size("_g"))
-    # of texts with a repeated window: hashes whose low PLACE bits give way to the place, sorted as plain numbers
-    packed = F.transform("_g", lambda h, i: h.bitwiseAND(F.lit(-(1 << PLACE))).bitwiseOR(i.cast("bigint")))
-    df = df.withColumn("_s", F.when(~F.col("_distinct") & (F.size("_g") < 1 << PLACE), F.sort_array(packed)))
-    alike = lambda x, j, k: F.coalesce(F.shiftrightunsigned(F.get("_s", j + k).bitwiseXOR(x), PLACE) == 0, F.lit(False))
+    # of texts with a repeated window: hashes whose low place bits give way to the place, sorted as plain numbers
+    packed = F.transform("_g", lambda h, i: h.bitwiseAND(F.lit(-(1 << place))).bitwiseOR(i.cast("bigint")))
+    df = df.withColumn("_s", F.when(~F.col("_distinct") & (F.size("_g") < 1 << place), F.sort_array(packed)))
+    alike = lambda x, j, k: F.coalesce(F.shiftrightunsigned(F.get("_s", j + k).bitwiseXOR(x), place) == 0, F.lit(False))
     df = df.withColumn("_twice", F.filter("_s", lambda x, j: alike(x, j, -1) | alike(x, j, 1)))
     # hashes that agree in the high bits only, and texts with more places, are sorted with their whole hashes
-    place = lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
+    low_bits = lambda x: x.bitwiseAND(F.lit((1 << place) - 1)).cast("int")
     prev = lambda j: F.get("_twice", j - 1)
-    clash = F.exists(F.transform("_twice", lambda x, j: (F.shiftrightunsigned(prev(j).bitwiseXOR(x), PLACE) == 0) & (F.get("_g", place(x)) != F.get("_g", place(prev(j))))), lambda b: F.coalesce(b, F.lit(False)))
+    clash = F.exists(F.transform("_twice", lambda x, j: (F.shiftrightunsigned(prev(j).bitwiseXOR(x), place) == 0) & (F.get("_g", low_bits(x)) != F.get("_g", low_bits(prev(j))))), lambda b: F.coalesce(b, F.lit(False)))
     df = df.withColumn("_whole", ~F.col("_distinct") & (F.col("_s").isNull() | clash))
     df = df.withColumn("_pairs", F.when(F.col("_whole"), F.array_sort(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     equal = lambda x, j, k: F.coalesce(F.get("_pairs", j + k)["h"] == x["h"], F.lit(False))
     slow = F.transform(F.filter("_pairs", lambda x, j: equal(x, j, -1) | equal(x, j, 1)), lambda x: x["i"])
-    df = df.withColumn("_at", F.sort_array(F.when(F.col("_whole"), slow).otherwise(F.transform("_twice", place))))
+    df = df.withColumn("_at", F.sort_array(F.when(F.col("_whole"), slow).otherwise(F.transform("_twice", low_bits))))
     cover = F.aggregate(F.transform("_at", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("_at", j + 1) - p, F.lit(3)))), F.lit(0), lambda s, x: s + x)
     df = df.withColumn("n_repeat_words", F.coalesce(cover, F.lit(0)).cast("bigint"))
     df = df.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: F.ltrim(x, F.lit(" \t\r\x0b\x0c")) != ""))
@@ -88,9 +89,9 @@ def measured(docs: DataFrame, carry: bool = False) -> DataFrame:
     return df
 
 
-def ledger(docs: DataFrame, carry: bool = False) -> DataFrame:
+def ledger(docs: DataFrame, carry: bool = False, place: int = PLACE) -> DataFrame:
     """Measurements and the mask `failed`: bit i is set if rule i of RULES fails."""
-    df = measured(docs, carry)
+    df = measured(docs, carry, place)
     values = {
         "n_words": F.col("n_words").cast("double"),
         "repeat_share": _share(F.col("n_repeat_words"), F.col("n_words")),

@@ -165,6 +165,8 @@ def test_quality_rules(spark, rows):
     assert by[10].kept and not by[42].kept and not by[41].kept
     assert sorted(keep(docs).columns) == sorted(docs.columns)
     assert keep(docs).count() == sum(r.kept for r in got)
+    for place in (2, 6):  # texts too long for plain numbers, and hashes that agree in their high bits
+        assert sorted(map(tuple, ledger(docs, place=place).collect()), key=repr) == sorted(map(tuple, ledger(docs).collect()), key=repr)
     found = {r.rule: r for r in ablation(ledger(docs)).collect()}
     assert found["few_words"].n_failed == sum(r.failed & 1 for r in got) and len(found) == bin(POLICIES["strict@2"]).count("1") == len(RULES)
 
@@ -250,6 +252,30 @@ def test_bpe(spark, rows):
         assert r.ids == ids and r.decoded == t.decode(ids, skip_special_tokens=False) and r.j == ",".join(map(str, ids))
 
 
+def test_bpe_tables_stay_small():
+    """Few kept pieces and texts read piece by piece give the same ids; bytes that are no text, and unknown ids."""
+    import numpy as np
+    import pyarrow as pa
+    import public_tokenizers
+
+    from loam.llm.bpe import Decoder, Encoder
+
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        file = f.read()
+    usual, small, decoder = Encoder(file), Encoder(file, kept=3, long_text=10), Decoder(file)
+    texts = [" ".join(words(300, i)) + "<|endoftext|> été 🙂" for i in range(5)] + ["", "x"]
+    assert [usual.encode(t) for t in texts] == [small.encode(t) for t in texts] and len(small.known) <= 4
+    ids = [np.frombuffer(usual.encode(t), np.int32) for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+    assert decoder.decode(np.concatenate(ids), offsets).to_pylist() == texts
+    part = np.frombuffer(usual.encode("🙂"), np.int32)[:1]
+    assert decoder.decode(part, np.array([0, 1])).to_pylist() == ["\ufffd"]
+    for bad in (-1, 10**6):
+        with pytest.raises(ValueError):
+            decoder.decode(np.array([bad]), np.array([0, 1]))
+    assert decoder.decode(np.zeros(0, np.int32), np.array([0, 0])).type == pa.string()
+
+
 PAGES = {
     None: "", "": "", "plain &amp; text": "plain & text", "<script>var x = '<p>no</p>';</script>": "",
     "<body><nav><a href=/>Home</a></nav><article><h1>T</h1><p>One\n two<p>three <b>four</b> five six seven</article><footer>f</footer>": "T\nOne two\nthree four five six seven",
