@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -183,9 +182,9 @@ class Marker:
     def __call__(self, key: Column | str) -> Column:
         has = self.has
 
-        @F.pandas_udf("boolean")
-        def marked(at: pd.Series) -> pd.Series:
-            return pd.Series(has(at.to_numpy()))
+        @F.arrow_udf("boolean")
+        def marked(at: pa.Array) -> pa.Array:
+            return pa.array(has(at.fill_null(0).to_numpy()), mask=at.is_null().to_numpy(zero_copy_only=False))
 
         return marked(self.place(key))
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,12 +188,11 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: fl
         value = F.lit(0.5)
     else:
 
-        @F.pandas_udf("double")
-        def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("double")
+        def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for text in texts:
-                column = pa.Array.from_pandas(text, type=pa.large_string())
-                parts = [model.score(measure(column[lo:hi])) for lo, hi in T.chunks(column)]
-                yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+                parts = [model.score(measure(text[lo:hi])) for lo, hi in T.chunks(text)]
+                yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
             T.give_back()
 
         value = score(F.coalesce(F.col("text").cast("string"), F.lit("")))

@@ -14,7 +14,6 @@ texts. A table of one row follows itself. Extra columns are ignored; an empty ta
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,20 +145,20 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("at")).first()["at"] if n > 1 else None
     bounds = np.array(sorted(set(found or [])), np.int64)
 
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), "left").astype(np.int32))
+    @F.arrow_udf("int")
+    def range_of(ids: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bounds, ids.to_numpy(), "left").astype(np.int32))
 
     last = sorted((r.bucket, r.last) for r in docs.select("_id", range_of("_id").alias("bucket")).groupBy("bucket").agg(F.max("_id").alias("last")).collect())
     ends = np.array([x for _, x in last], np.int64)
     after = np.array([*(b for b, _ in last[1:]), *(b for b, _ in last[:1])], np.int32)  # the first range follows the last one
 
-    @F.pandas_udf("int")
-    def guest_of(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def guest_of(ids: pa.Array) -> pa.Array:
         """The range that a row is the guest of; -1 if of none."""
         x = ids.to_numpy()
         at = np.minimum(np.searchsorted(ends, x), max(len(ends) - 1, 0))
-        return pd.Series(np.where(ends[at] == x, after[at], -1) if len(ends) else np.full(len(x), -1)).astype(np.int32)
+        return pa.array((np.where(ends[at] == x, after[at], -1) if len(ends) else np.full(len(x), -1)).astype(np.int32))
 
     docs = docs.withColumn("bucket", range_of("_id")).withColumn("other", guest_of("_id"))
     own, guest = F.struct("bucket", F.lit(False).alias("guest")), F.struct(F.col("other").alias("bucket"), F.lit(True).alias("guest"))
