@@ -27,14 +27,17 @@ def plan(levels: dict[int, list[tuple[int, int]]], factor: int, max_level: int =
     return out
 
 
-def merged(inputs: DataFrame, older: DataFrame | None = None) -> DataFrame:
-    """The newest version of each key of the inputs. A tombstone stays only if an older run outside may hold its key."""
+def merged(inputs: DataFrame, older: DataFrame | None = None, complete: int | None = None) -> DataFrame:
+    """The newest version of each key of the inputs. A tombstone stays if an older run outside may hold its key, or if its seq is
+    above `complete`, up to which all changes are known to have come (None: all have)."""
     rows = merge(inputs)
+    dead, kept = rows.where("is_deleted"), rows.where(~F.col("is_deleted"))
+    if complete is not None:
+        kept = kept.unionByName(dead.where(F.col("seq") > complete))
+        dead = dead.where(F.col("seq") <= complete)
     if older is None:
-        return rows.where(~F.col("is_deleted"))
-    keys = older.select("key").distinct()
-    kept = rows.where("is_deleted").join(keys, "key", "left_semi")
-    return rows.where(~F.col("is_deleted")).unionByName(kept)
+        return kept
+    return kept.unionByName(dead.join(older.select("key").distinct(), "key", "left_semi"))
 
 
 def passes(n_runs: int, factor: int) -> dict[int, int]:

@@ -6,7 +6,9 @@ Parquet Bloom filters on key), `blooms/<id>/` (the non-zero bytes of the run's o
 
 One writer at a time, by fencing: a store's first write makes a manifest version with its name, and then reads the log; a store
 that finds a newer version than its own has been fenced and raises `Conflict`, at a write after it has taken the write back.
-So no acknowledged write is lost and no seq is given out twice. Readers pin the version they opened: runs and log
+So no acknowledged write is lost and no seq is given out twice. The batches of a stream may come in any order of their seqs: while a store
+has streams, compaction forgets only tombstones up to the seq that `complete` names, and a batch older than what it has
+forgotten is refused. Readers pin the version they opened: runs and log
 folders go only in `vacuum`, once no manifest version younger than the retention names or needs them."""
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from .operators.lookup import between, multi_get
 from .schema import DELETE, LOG, MAX_LEVEL, PUT, RUN, KeyNotFound, StoreClosed, StoreConfig
 from .sources.changelog import normalised, record_bytes, replay
 
-EMPTY = {"runs": [], "upto": -1, "writer": None, "streams": {}}
+EMPTY = {"runs": [], "upto": -1, "writer": None, "streams": {}, "complete": -1, "forgotten": -1}
 
 
 class KeyedStore:
@@ -255,15 +257,25 @@ class KeyedStore:
             self.flush_upto(max(x[1] for x in self.log))
 
     def add_batch(self, log: DataFrame, stream: str, batch_id: int) -> None:
-        """A micro-batch of a stream as a level-0 run; one that the manifest names as done is left out."""
+        """A micro-batch of a stream as a level-0 run; one that the manifest names as done is left out. A batch that reaches below a
+        tombstone that compaction has forgotten is an error: its older versions would come back."""
         self.claim()
         if self.held["streams"].get(stream, -1) >= batch_id:
             return
         run = self.add_run(latest(log), 0)
+        if run and run["min_seq"] <= self.held["forgotten"]:
+            for name in ("runs", "blooms"):
+                self.fs.delete(self.at(f"{name}/{run['run_id']}"), True)
+            raise ValueError(f"seq {run['min_seq']} is not above {self.held['forgotten']}, up to which tombstones are forgotten")
         self.commit(runs=[*self.runs, *([run] if run else [])], streams={**self.held["streams"], stream: batch_id})
         self.next_seq = max(self.next_seq, (run or {"max_seq": -1})["max_seq"] + 1)
         self.tend()
 
+    def complete(self, seq: int) -> None:
+        """Says that all changes up to `seq` have come, so that compaction may forget tombstones up to there."""
+        self.claim()
+        self.commit(complete=max(seq, self.held["complete"]))
+
     def tend(self) -> None:
         """What follows a new run: compaction when due, and removal of what nothing needs any more."""
         if sum(r["level"] == 0 for r in self.runs) >= self.config.compaction_factor:
@@ -273,30 +285,34 @@ class KeyedStore:
     def compact(self) -> None:
         """One pass over the levels. Inputs stay for the readers of older versions."""
         self.claim()
+        complete = self.held["complete"] if self.held["streams"] else None  # a store's own writes come in order
         levels: dict[int, list[tuple[str, int]]] = {}
         for r in self.runs:
             levels.setdefault(r["level"], []).append((r["run_id"], r["max_seq"]))
         for m in compaction.plan(levels, self.config.compaction_factor, MAX_LEVEL):
             inputs = [r for r in self.runs if r["run_id"] in m.run_ids]
             older = [r for r in self.runs if r not in inputs and r["min_seq"] < max(x["max_seq"] for x in inputs)]
-            run = self.add_run(compaction.merged(self.read(inputs), self.read(older) if older else None), m.level + 1)
-            self.commit(runs=[r for r in self.runs if r not in inputs] + ([run] if run else []))
+            run = self.add_run(compaction.merged(self.read(inputs), self.read(older) if older else None, complete), m.level + 1)
+            last = max([r["max_seq"] for r in inputs if r["n_tombstones"]], default=-1)
+            forgotten = max(self.held["forgotten"], last if complete is None else min(last, complete))
+            self.commit(runs=[r for r in self.runs if r not in inputs] + ([run] if run else []), forgotten=forgotten)
 
     def vacuum(self, retention_s: float | None = None) -> None:
-        """Removes manifest versions older than the retention, but the newest, and the runs, filters and log folders that those left
+        """Removes manifest versions that were replaced longer ago than the retention, and the runs, filters and log folders that those left
         don't need; unfinished files of that age as well."""
         self.claim()
         before = int((time.time() - (self.config.retention_s if retention_s is None else retention_s)) * 1000)
         folder, kept = f"{self.path}/manifest", [self.held]
         manifest.clear(self.spark, folder, before)
+        replaced = None  # when the version before was made, which replaced this one
         for version, status in sorted(manifest.files(self.spark, folder).items(), reverse=True):
-            if version < self.version:
+            if replaced is not None:
                 held = manifest.content(self.spark, folder, version)
-                # a version is in use until its successor is as old as the retention; its own age is less than that
-                if held is not None and status.getModificationTime() >= before:
+                if held is not None and replaced >= before:
                     kept.append(held)
                 else:
                     self.fs.delete(status.getPath(), False)
+            replaced = status.getModificationTime()
         used, upto = {r["run_id"] for h in kept for r in h["runs"]}, min(h["upto"] for h in kept)
         for name in ("runs", "blooms"):
             for s in self.fs.listStatus(self.at(name)) if self.fs.exists(self.at(name)) else []:

@@ -29,7 +29,8 @@ def state(spark: SparkSession, runs_path: str) -> DataFrame:
 
 def ingest_into(store: KeyedStore, log_path: str, checkpoint: str, name: str = "log", per_trigger: int = 1) -> None:
     """The same into a store: each micro-batch is a level-0 run in the manifest, with compaction and vacuum behind it. A batch
-    that is replayed after a failure is known by its number and left out."""
+    that is replayed after a failure is known by its number and left out. Files may come in any order of their seqs; call the store's
+    `complete` once all up to a seq have come, so that compaction may forget tombstones."""
 
     def flush(batch: DataFrame, batch_id: int) -> None:
         store.add_batch(batch, name, batch_id)

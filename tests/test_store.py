@@ -172,6 +172,27 @@ def test_readers_keep_their_version(spark, tmp_path):
     assert as_dict(KeyedStore.open(spark, path).state()) == {"a": "3", "b": "2"}
 
 
+def test_version_is_kept_from_when_it_was_replaced(spark, tmp_path):
+    """A version made long ago and replaced just now still serves its readers."""
+    import os
+    import time
+
+    path = f"file://{tmp_path}/s"
+    s = KeyedStore.open(spark, path, StoreConfig(compaction_factor=2))
+    for i in range(2):
+        s.put("a", str(i))
+        s.flush()
+    reader = KeyedStore.open(spark, path)
+    ago = time.time() - 9000
+    for top, names, files in os.walk(tmp_path / "s"):
+        for x in [*names, *files]:
+            os.utime(os.path.join(top, x), (ago, ago))
+    s.put("a", "2")
+    s.flush()
+    s.vacuum()
+    assert as_dict(reader.state()) == {"a": "1"} and as_dict(s.state()) == {"a": "2"}
+
+
 def test_unfinished_version_is_none(spark, tmp_path):
     from loam import manifest
 
@@ -232,6 +253,33 @@ def test_stream_into_a_store(spark, tmp_path):
     assert s.get("k00") == "later"
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_stream_in_any_order(spark, tmp_path, seed):
+    """Batches whose seqs fall: older puts that come after a compaction don't come back over tombstones."""
+    r = random.Random(seed)
+    rows = [(i, int(r.random() < 0.4), f"k{r.randint(0, 9)}", None) for i in range(80)]
+    rows = [(i, op, k, None if op else f"v{i}") for i, op, k, _ in rows]
+    parts = [rows[a : a + 10] for a in range(0, 80, 10)]
+    r.shuffle(parts)
+    parts.sort(key=lambda p: -p[0][0] if seed == 0 else 0)  # newest first, or any order
+    s = KeyedStore.open(spark, f"file://{tmp_path}/s", StoreConfig(compaction_factor=2))
+    for i, part in enumerate(parts):
+        s.add_batch(spark.createDataFrame(part, LOG), "log", i)
+        assert as_dict(s.state()) == model([x for p in parts[: i + 1] for x in p])
+    assert any(x["level"] > 0 for x in s.runs) and s.held["forgotten"] == -1
+    kept = sum(x["n_tombstones"] for x in s.runs)
+    s.complete(79)
+    for i in range(80, 84):
+        s.put(f"k{i}", "x")
+        s.flush()
+    for _ in range(4):
+        s.compact()
+    assert sum(x["n_tombstones"] for x in s.runs) < kept and s.held["forgotten"] > 0
+    assert as_dict(s.state()) == {**model(rows), **{f"k{i}": "x" for i in range(80, 84)}}
+    with pytest.raises(ValueError):
+        s.add_batch(spark.createDataFrame([(0, 0, "k0", "late")], LOG), "log", 99)
+
+
 def test_ranks_of_many_keys(spark):
     """Ranks over a million keys in few and many ranges: each one once, in key order."""
     n = 1_000_000
