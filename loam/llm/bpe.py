@@ -6,7 +6,7 @@ have changed since is stale and skipped. Decoding concatenates vocabulary string
 read once on the driver and sent to the executors; pieces already seen are kept in a bounded table of each worker.
 
 Defined results: null or empty text: no tokens, decoded to the empty text; a null array of ids as well. Unknown ids are an error. Repeated rows
-are encoded each; extra columns are kept by `encode` and `decode`, an empty table gives no rows."""
+are encoded each; extra columns are kept, an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -183,14 +183,10 @@ class Sent:
         return self.held.value
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the array of token ids of each whole text."""
-    spark = docs.sparkSession
-    small_arrow_batches(spark)
-    sent = Sent(spark, path)
-    schema = S.StructType([*docs.schema.fields, S.StructField(ids, S.ArrayType(S.IntegerType(), False))])
+def encoding(sent: Sent, text: str, ids: str):
+    """The task that adds the array of token ids to each batch."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = made(Encoder, sent)
         for batch in batches:
             found = [encoder.encode(t) if t else b"" for t in batch.column(text).to_pylist()]
@@ -199,7 +195,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids])
         T.give_back()
 
-    return docs.mapInArrow(run, schema)
+    return run
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Adds the array of token ids of each whole text."""
+    spark = docs.sparkSession
+    small_arrow_batches(spark)
+    schema = S.StructType([*docs.schema.fields, S.StructField(ids, S.ArrayType(S.IntegerType(), False))])
+    return docs.mapInArrow(encoding(Sent(spark, path), text, ids), schema)
 
 
 def token_chunks(lists: pa.ListArray, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
@@ -212,14 +216,10 @@ def token_chunks(lists: pa.ListArray, size: int = 1 << 18) -> Iterator[tuple[int
         at = to
 
 
-def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Adds the text of each array of token ids."""
-    spark = rows.sparkSession
-    small_arrow_batches(spark)
-    sent = Sent(spark, path)
-    schema = S.StructType([*rows.schema.fields, S.StructField(text, S.StringType())])
+def decoding(sent: Sent, ids: str, text: str):
+    """The task that adds the text of each array of token ids to each batch."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = made(Decoder, sent)
         for batch in batches:
             lists = batch.column(ids)
@@ -230,7 +230,32 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns), texts], names=[*batch.schema.names, text])
         T.give_back()
 
-    return rows.mapInArrow(run, schema)
+    return run
+
+
+def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """Adds the text of each array of token ids."""
+    spark = rows.sparkSession
+    small_arrow_batches(spark)
+    schema = S.StructType([*rows.schema.fields, S.StructField(text, S.StringType())])
+    return rows.mapInArrow(decoding(Sent(spark, path), ids, text), schema)
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Token ids of each whole text and the text they decode to, in place of the text itself.
+
+    Both steps run in one worker, batch by batch: the ids don't go through the JVM in between, and a task needs no second worker."""
+    spark = docs.sparkSession
+    small_arrow_batches(spark)
+    sent = Sent(spark, path)
+    to_ids, to_text = encoding(sent, text, ids), decoding(sent, ids, decoded)
+    kept = [f for f in docs.schema.fields if f.name != text]
+    schema = S.StructType([*kept, S.StructField(ids, S.ArrayType(S.IntegerType(), False)), S.StructField(decoded, S.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return to_text(batch.drop_columns([text]) for batch in to_ids(batches))
+
+    return docs.mapInArrow(run, schema)
 
 
 def joined_ids(ids: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..paths import new_path
-from .bpe import decode, encode, joined_ids
+from .bpe import joined_ids, round_trip
 from .common import table
 from .html_text import extract_pages
 from .license_scan import scan
@@ -50,7 +50,7 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"file://{public_tokenizers.path(TOKENIZER)}"
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, path).drop("text"), path)
+    out = round_trip(docs, path)
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined_ids("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

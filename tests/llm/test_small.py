@@ -237,7 +237,7 @@ def test_bpe(spark, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    from loam.llm.bpe import decode, encode, joined_ids
+    from loam.llm.bpe import decode, encode, joined_ids, round_trip
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
@@ -250,6 +250,10 @@ def test_bpe(spark, rows):
     for r in got:
         ids = t.encode(r.text or "", add_special_tokens=False).ids
         assert r.ids == ids and r.decoded == t.decode(ids, skip_special_tokens=False) and r.j == ",".join(map(str, ids))
+    once = round_trip(docs, f"file://{path}")
+    assert once.columns == [*(c for c in docs.columns if c != "text"), "ids", "decoded"]
+    key = lambda r: (str(r.doc_id), r.ids, r.decoded, str(r.score))
+    assert sorted(map(key, once.collect())) == sorted(map(key, got))
 
 
 def test_bpe_tables_stay_small():
@@ -343,6 +347,7 @@ def test_empty_tables(spark, rows):
     import public_tokenizers
 
     assert bpe.encode(none, f"file://{public_tokenizers.path('byte_bpe_50k.json')}").count() == 0
+    assert bpe.round_trip(none, f"file://{public_tokenizers.path('byte_bpe_50k.json')}").count() == 0
 
 
 def test_pipeline(spark, rows, tmp_path):
